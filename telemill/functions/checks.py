@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from telemill.definitions import KINDS, Column
 from telemill.functions.errors import ERROR_TYPE, error, render_value
 from telemill.functions.strict_json import is_number, is_strict_json, kind_of_value
-from telemill.functions.timespan import format_timespan, parse_timespan
+from telemill.functions.timespan import format_timespan, is_timespan, parse_timespan
 
 # One or two hour digits; any number of fraction digits after a dot or comma.
 _DATETIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?\z"
@@ -63,7 +63,7 @@ def present_value(kind: str, field: SparkColumn) -> SparkColumn:
     return F.try_variant_get(field, "$", KINDS[kind].simpleString())
 
 
-def present_error(kind: str, name: str, field: SparkColumn, marker: str) -> SparkColumn:
+def present_error(kind: str, name: str, field: SparkColumn) -> SparkColumn:
     """Error struct of a field that is present, NULL if it is right."""
     name_col = F.lit(name)
     wrong_type = error("invalid_field_type", name_col, render_value(field))
@@ -82,9 +82,9 @@ def present_error(kind: str, name: str, field: SparkColumn, marker: str) -> Spar
     if kind == "datetime":
         bad, code = parse_datetime(text).isNull(), "invalid_datetime"
     elif kind == "timespan":
-        bad, code = parse_timespan(text).isNull(), "invalid_timespan"
+        bad, code = ~F.coalesce(is_timespan(text), F.lit(False)), "invalid_timespan"
     else:
-        bad, code = ~F.coalesce(is_strict_json(text, marker), F.lit(False)), "invalid_json"
+        bad, code = ~F.coalesce(is_strict_json(text), F.lit(False)), "invalid_json"
     return F.when(kind_now != "STRING", wrong_type).when(bad, error(code, name_col, text)).otherwise(none)
 
 
@@ -99,9 +99,9 @@ def default_value(column: Column) -> SparkColumn:
     return F.lit(column.default).cast(KINDS[column.kind])
 
 
-def field_error(column: Column, field: SparkColumn, marker: str) -> SparkColumn:
+def field_error(column: Column, field: SparkColumn) -> SparkColumn:
     """Error struct of one declared column, NULL if its field is acceptable."""
-    checked = present_error(column.kind, column.name, field, marker)
+    checked = present_error(column.kind, column.name, field)
     if column.optional or column.default is not None:
         return F.when(field.isNotNull(), checked)
     missing = error("missing_required_field", F.lit(column.name), F.lit("missing"))

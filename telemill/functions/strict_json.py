@@ -23,10 +23,11 @@ _STRICT = {
 }
 
 _WHITESPACE = " \t\r\n"
+_QUICK_LIMIT = 8 * 1024 * 1024
 
 
-def new_marker() -> str:
-    return uuid.uuid4().hex
+# Nobody who writes a body can know it: it is drawn anew by every driver.
+_MARKER = uuid.uuid4().hex
 
 
 def _marked_elements(text: Column) -> Column:
@@ -35,12 +36,12 @@ def _marked_elements(text: Column) -> Column:
     return F.from_json(text, "array<variant>", _STRICT)
 
 
-def ends_with_marker(elements: Column, marker: str) -> Column:
+def ends_with_marker(elements: Column) -> Column:
     last = F.try_variant_get(F.try_element_at(elements, F.lit(-1)), "$", "string")
-    return F.coalesce(last == F.lit(marker), F.lit(False))
+    return F.coalesce(last == F.lit(_MARKER), F.lit(False))
 
 
-def marked_array(text: Column, marker: str) -> Column:
+def marked_array(text: Column) -> Column:
     """Elements of a text that should hold one JSON array, the marker last.
 
     NULL or without the marker if it does not; an empty array is never
@@ -48,21 +49,30 @@ def marked_array(text: Column, marker: str) -> Column:
     """
     trimmed = F.rtrim(text, F.lit(_WHITESPACE))
     opened = F.substring(trimmed, F.lit(1), F.char_length(trimmed) - 1)
-    return _marked_elements(F.when(F.endswith(trimmed, F.lit("]")), F.concat(opened, F.lit(f',"{marker}"]'))))
+    return _marked_elements(F.when(F.endswith(trimmed, F.lit("]")), F.concat(opened, F.lit(f',"{_MARKER}"]'))))
 
 
 def is_empty_array(text: Column) -> Column:
     return text.rlike(r"\A[ \t\r\n]*(?:null|\[[ \t\r\n]*\])[ \t\r\n]*\z")
 
 
-def parse_strict(text: Column, marker: str) -> Column:
+def parse_strict(text: Column) -> Column:
     """VARIANT of a text that is exactly one JSON value, else NULL."""
-    elements = _marked_elements(F.concat(F.lit("["), text, F.lit(f',"{marker}"]')))
-    return F.when((F.size(elements) == 2) & ends_with_marker(elements, marker), F.get(elements, F.lit(0)))
+    wrapped = F.concat(F.lit("["), text, F.lit(f',"{_MARKER}"]'))
+    elements = _marked_elements(wrapped)
+    return F.when((F.size(elements) == 2) & ends_with_marker(elements), F.get(elements, F.lit(0)))
 
 
-def is_strict_json(text: Column, marker: str) -> Column:
-    return parse_strict(text, marker).isNotNull()
+def is_strict_json(text: Column) -> Column:
+    """Whether a text is exactly one JSON value.
+
+    The quick parser gives up on values beyond its size limits; what it turns
+    down is looked at again by the one without.
+    """
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARKER}"]')))
+    quick = F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == F.lit(_MARKER), F.lit(False))
+    large = F.octet_length(text) >= _QUICK_LIMIT
+    return quick | (large & parse_strict(text).isNotNull())
 
 
 def is_object(value: Column) -> Column:

@@ -23,6 +23,8 @@ _UNIT = "(?:" + "|".join(UNIT_NANOS) + ")"
 _DAYS = rf"\A({_NUMBER})d"
 _GRAMMAR = rf"\A(?:{_NUMBER}d)?(?:[+-]?(?:0|(?:{_NUMBER}{_UNIT})+))?\z"
 _PART = rf"({_NUMBER})({_UNIT})"
+# The usual case, one short whole number and a unit, fits BIGINT in any unit.
+_SIMPLE = "\\A([0-9]{1,5})(d|" + "|".join(UNIT_NANOS) + ")\\z"
 
 
 def _scaled(number: Column, nanos: Column) -> Column:
@@ -31,6 +33,11 @@ def _scaled(number: Column, nanos: Column) -> Column:
     return F.floor(exact).try_cast("decimal(30,0)")
 
 
+def _unit_nanos(unit: Column) -> Column:
+    lengths = {"d": DAY_NANOS, **UNIT_NANOS}
+    return F.create_map(*[F.lit(x).cast("bigint") if isinstance(x, int) else F.lit(x) for p in lengths.items() for x in p])[unit]
+
+
 def parse_timespan(text: Column) -> Column:
     """Nanoseconds of a timespan text, NULL if it is none or does not fit BIGINT.
 
@@ -42,11 +49,10 @@ def parse_timespan(text: Column) -> Column:
         _scaled(days, F.lit(DAY_NANOS).cast("decimal(15,0)"))
     )
     rest = F.regexp_replace(text, _DAYS, "")
-    unit_nanos = F.create_map(*[F.lit(x) for unit, n in UNIT_NANOS.items() for x in (unit, n)])
     parts = F.zip_with(
         F.regexp_extract_all(rest, F.lit(_PART), F.lit(1)),
         F.regexp_extract_all(rest, F.lit(_PART), F.lit(2)),
-        lambda n, u: _scaled(n, unit_nanos[u].cast("decimal(15,0)")),
+        lambda n, u: _scaled(n, _unit_nanos(u).cast("decimal(15,0)")),
     )
     total = F.aggregate(
         parts,
@@ -55,7 +61,12 @@ def parse_timespan(text: Column) -> Column:
     )
     signed = F.when(rest.startswith("-"), -total).otherwise(total)
     nanos = F.call_function("try_add", day_nanos, signed).try_cast("bigint")
-    return F.when((text != "") & text.rlike(_GRAMMAR), nanos)
+    simple = F.regexp_extract(text, _SIMPLE, 1).try_cast("bigint") * _unit_nanos(F.regexp_extract(text, _SIMPLE, 2))
+    return F.when(text.rlike(_SIMPLE), simple).when((text != "") & text.rlike(_GRAMMAR), nanos)
+
+
+def is_timespan(text: Column) -> Column:
+    return F.when(text.rlike(_SIMPLE), F.lit(True)).otherwise(parse_timespan(text).isNotNull())
 
 
 def _with_fraction(amount: Column, digits: int) -> Column:

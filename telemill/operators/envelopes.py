@@ -13,11 +13,10 @@ from telemill.functions.strict_json import (
     is_empty_array,
     is_object,
     marked_array,
-    new_marker,
     object_fields,
 )
 from telemill.functions.timespan import format_timespan
-from telemill.session import quoted
+from telemill.session import floor_div, quoted, settle
 
 ITEM, SPLIT_ERROR, BODY_ERROR, EMPTY_BODY = "item", "split_error", "body_error", "empty_body"
 
@@ -35,7 +34,6 @@ def split_envelopes(bodies: DataFrame) -> DataFrame:
 
     Each body is parsed once; the step is narrow (no shuffle).
     """
-    marker = new_marker()
     carried = [quoted(c) for c in bodies.columns if c != "body"]
     body = F.coalesce(F.col("body"), F.lit(""))
 
@@ -43,12 +41,12 @@ def split_envelopes(bodies: DataFrame) -> DataFrame:
         *carried,
         F.col("body"),
         is_empty_array(body).alias("__empty"),
-        marked_array(body, marker).alias("__marked"),
+        marked_array(body).alias("__marked"),
     )
     elements = F.slice(F.col("__marked"), F.lit(1), F.size("__marked") - 1)
     # One element that is neither an object nor null spoils the whole body.
     all_items = F.forall(elements, lambda e: F.is_variant_null(e) | is_object(e))
-    complete = F.coalesce(ends_with_marker(F.col("__marked"), marker) & all_items, F.lit(False))
+    complete = F.coalesce(ends_with_marker(F.col("__marked")) & all_items, F.lit(False))
     judged = parsed.select(
         *carried,
         F.when(F.col("__empty"), F.lit(EMPTY_BODY)).when(~complete, F.lit(BODY_ERROR)).alias("__fault"),
@@ -89,14 +87,16 @@ def split_envelopes(bodies: DataFrame) -> DataFrame:
         ),
     )
     is_item = F.col("__fault").isNull() & F.col("__type").isNotNull() & usable
-    return keyed.select(
-        *carried,
-        "pos",
-        kind.alias("kind"),
-        F.when(is_item, F.col("__type")).alias("type_name"),
-        F.when(is_item, F.col("__data")).alias("data"),
-        code.alias("code"),
-        clip(value).alias("value"),
+    return settle(
+        keyed,
+        [*carried, F.col("pos")],
+        {
+            "kind": kind,
+            "type_name": F.when(is_item, F.col("__type")),
+            "data": F.when(is_item, F.col("__data")),
+            "code": code,
+            "value": clip(value),
+        },
     )
 
 
@@ -133,7 +133,7 @@ def pack_bodies(items: DataFrame, batch_size: int) -> DataFrame:
     entry = F.struct(F.col("seq"), F.col("envelope"))
     ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["envelope"])
     return (
-        items.groupBy(F.floor(F.col("seq") / F.lit(batch_size)).cast("bigint").alias("batch_id"))
+        items.groupBy(floor_div(F.col("seq"), F.lit(batch_size).cast("bigint")).alias("batch_id"))
         .agg(ordered.alias("__items"))
         .select("batch_id", F.concat(F.lit("["), F.array_join("__items", ","), F.lit("]")).alias("body"))
     )

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.session import cut_lineage, join_lookup, quoted
+from telemill.session import cut_lineage, floor_div, join_lookup, quoted
 
 MINUTE_MS = 60_000
 NAME_FORMAT = "yyyy-MM-dd_HH-mm-ss.SSS"
@@ -143,7 +143,7 @@ def anchored_starts(
 
     number = lookup({n: i for i, n in enumerate(names)}, F.col("type_name"))
     numbered = times.select(number.alias("type_no"), "ms").distinct()
-    block = F.floor(F.col("ms") / lookup(blocks, F.col("type_no"))).cast("bigint")
+    block = floor_div(F.col("ms"), lookup(blocks, F.col("type_no")).cast("bigint"))
     located = cut_lineage(numbered.select("type_no", block.alias("node"), "ms"), "segment-times")
     lo, hi = located.agg(F.min("node"), F.max("node")).first()
     if lo is None:
@@ -183,7 +183,7 @@ def anchored_starts(
     levels = [cut_lineage(located.groupBy("type_no", "node").applyInPandas(summarize, _FUNCTION), "segment-blocks")]
     span = hi - lo + 1
     fan_in = span if levels[0].count() <= FLAT_CHAIN_ROWS else FAN_IN
-    parent = F.floor(F.col("node") / F.lit(fan_in)).cast("bigint")
+    parent = floor_div(F.col("node"), F.lit(fan_in).cast("bigint"))
     while span > fan_in:
         grouped = levels[-1].groupBy("type_no", parent.alias("parent"))
         levels.append(cut_lineage(grouped.applyInPandas(merge, _FUNCTION), "segment-blocks"))
@@ -229,14 +229,14 @@ def assign_anchored(
         starts = starts.unionByName(running).distinct()
 
     def width(key: Column) -> Column:
-        return F.create_map(*[F.lit(x) for n, m in widths.items() for x in (n, m * MINUTE_MS)])[key]
+        return F.create_map(*[F.lit(x) for n, m in widths.items() for x in (n, m * MINUTE_MS)])[key].cast("bigint")
 
-    window = F.floor(F.col("start_ms") / width(F.col("type_name"))).cast("bigint")
+    window = floor_div(F.col("start_ms"), width(F.col("type_name")))
     none = F.lit(None).cast("bigint")
     own = starts.select(F.col("type_name").alias("__type"), window.alias("__window"), F.col("start_ms").alias("own"), none.alias("before"))
     following = starts.select(F.col("type_name").alias("__type"), (window + 1).alias("__window"), none.alias("own"), F.col("start_ms").alias("before"))
     lookup = own.unionByName(following).groupBy("__type", "__window").agg(F.max("own").alias("__own"), F.max("before").alias("__before"))
-    located = marked.withColumn("__window", F.floor(F.col("__ms") / width(F.col("__type"))).cast("bigint"))
+    located = marked.withColumn("__window", floor_div(F.col("__ms"), width(F.col("__type"))))
     joined = join_lookup(located, cut_lineage(lookup, "segments"), ["__type", "__window"])
     start = F.when(F.col("__own") <= F.col("__ms"), F.col("__own")).otherwise(F.col("__before"))
     if carry:

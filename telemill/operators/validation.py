@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.definitions import INGEST_TIME, ItemDefinition
 from telemill.functions.checks import field_error, field_value
 from telemill.functions.errors import ERROR_TYPE, error, render_error
-from telemill.functions.strict_json import new_marker, object_fields
+from telemill.functions.strict_json import object_fields
 from telemill.operators.envelopes import ITEM
-from telemill.session import quoted
+from telemill.session import quoted, settle
 
 # Route of everything that belongs to no table. No type can have this name.
 NO_ROUTE = "__none"
@@ -29,11 +31,29 @@ def route_by_type(type_name: Column, definitions: Iterable[ItemDefinition]) -> C
     return F.when(type_name.isin(known), type_name).otherwise(F.lit(NO_ROUTE))
 
 
-def _item_errors(definition: ItemDefinition, fields: Column, marker: str) -> Column:
-    found = [field_error(c, fields[c.name], marker) for c in definition.columns]
+# A definition is compiled once per driver, not once per batch: putting the
+# expressions together costs more than running a small micro-batch.
+
+
+@lru_cache(maxsize=4096)
+def _compiled_errors(definition: ItemDefinition, gateway: int) -> Column:
+    found = [field_error(c, F.col("__fields")[c.name]) for c in definition.columns]
     return F.array_compact(F.array(*found)).cast(f"array<{ERROR_TYPE}>")
 
 
+@lru_cache(maxsize=4096)
+def _compiled_values(definition: ItemDefinition, gateway: int) -> tuple[Column, ...]:
+    stored = definition.stored_schema.fields[1:]
+    return tuple(
+        field_value(c, F.col("__fields")[c.name]).alias(f.name, metadata=f.metadata)
+        for c, f in zip(definition.columns, stored)
+    )
+
+
+def _gateway() -> int:
+    return id(SparkContext._gateway)
+
+
 def check_items(items: DataFrame, definitions: Iterable[ItemDefinition]) -> DataFrame:
     """Add ``route`` and ``errors`` to split items, every error of every item.
 
@@ -41,29 +61,28 @@ def check_items(items: DataFrame, definitions: Iterable[ItemDefinition]) -> Data
     type only. Rows without errors and with a route are accepted.
     """
     definitions = list(definitions)
-    marker = new_marker()
-    fields = F.col("__fields")
     by_type = F.array(error("item_type_not_defined"))
     branches = None
     for d in definitions:
-        test, errors = F.col("type_name") == d.name, _item_errors(d, fields, marker)
+        test, errors = F.col("type_name") == d.name, _compiled_errors(d, _gateway())
         branches = F.when(test, errors) if branches is None else branches.when(test, errors)
     item_errors = by_type if branches is None else branches.otherwise(by_type)
     split_error = F.array(
         F.struct(F.col("code"), F.lit(None).cast("string").alias("field"), F.col("value")).cast(ERROR_TYPE)
     )
     nothing = F.array().cast(f"array<{ERROR_TYPE}>")
-    kept = [c for c in items.columns if c not in ("code", "value")]
-    return items.withColumn("__fields", object_fields(F.col("data"))).select(
-        *[quoted(c) for c in kept],
-        F.when(F.col("kind") == ITEM, route_by_type(F.col("type_name"), definitions))
-        .otherwise(F.lit(NO_ROUTE))
-        .alias("route"),
-        F.when(F.col("kind") == ITEM, item_errors)
-        .when(F.col("code").isNotNull(), split_error)
-        .otherwise(nothing)
-        .alias("errors"),
+    kept = [quoted(c) for c in items.columns if c not in ("code", "value")]
+    route = F.when(F.col("kind") == ITEM, route_by_type(F.col("type_name"), definitions)).otherwise(F.lit(NO_ROUTE))
+    found = (
+        F.when(F.col("kind") == ITEM, item_errors).when(F.col("code").isNotNull(), split_error).otherwise(nothing)
     )
+    opened = _with_fields(items, [*kept, F.col("code"), F.col("value")])
+    return settle(opened, kept, {"route": route, "errors": found})
+
+
+def _with_fields(items: DataFrame, kept: list[Column]) -> DataFrame:
+    """Add ``__fields``, the members of an item by name."""
+    return settle(items, kept, {"__fields": object_fields(F.col("data"))})
 
 
 def is_accepted() -> Column:
@@ -76,17 +95,14 @@ def is_rejected() -> Column:
 
 def typed_rows(checked: DataFrame, definition: ItemDefinition, keep: Iterable[str] = ()) -> DataFrame:
     """Accepted items of one type as typed rows, ``ingest_time`` first."""
-    mine = checked.where(is_accepted() & (F.col("route") == definition.name))
-    keep = list(keep)
-    fields = F.col("__fields")
-    columns = []
-    for c, f in zip(definition.columns, definition.stored_schema.fields[1:]):
-        columns.append(field_value(c, fields[c.name]).alias(f.name, metadata=f.metadata))
+    own = (F.col("type_name") == definition.name) & (F.col("route") == definition.name)
+    mine = checked.where(own & is_accepted())
+    kept = [quoted(c) for c in keep]
     time_field = definition.stored_schema[INGEST_TIME]
-    return mine.withColumn("__fields", object_fields(F.col("data"))).select(
-        *[quoted(c) for c in keep],
+    return _with_fields(mine, [*kept, F.col(INGEST_TIME)]).select(
+        *kept,
         F.col(INGEST_TIME).cast("timestamp_ntz").alias(INGEST_TIME, metadata=time_field.metadata),
-        *columns,
+        *_compiled_values(definition, _gateway()),
     )
 
 

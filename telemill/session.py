@@ -32,6 +32,25 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def floor_div(number: Column, divisor: Column) -> Column:
+    """Exact floored quotient of two BIGINTs (``/`` would go through DOUBLE)."""
+    return F.call_function("div", number - F.pmod(number, divisor), divisor)
+
+
+def settle(df: DataFrame, kept: list[Column], computed: dict[str, Column]) -> DataFrame:
+    """``select(kept + computed)`` whose computed columns are worked out once.
+
+    A filter on a computed column would otherwise be pushed below the projection
+    with the whole expression copied into it, once per use. The projection is
+    followed by a one-row generator: filters on the kept columns pass it, others
+    do not.
+    """
+    projected = df.select(*kept, *[value.alias(f"__settled_{name}") for name, value in computed.items()])
+    row = F.struct(*[quoted(f"__settled_{name}").alias(name) for name in computed])
+    names = [c for c in projected.columns if not c.startswith("__settled_")]
+    return projected.select(*[quoted(c) for c in names], F.inline(F.array(row)))
+
+
 # --- scratch space -----------------------------------------------------------
 
 

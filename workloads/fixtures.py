@@ -120,3 +120,233 @@ def faulty_events(events: DataFrame) -> DataFrame:
 def event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(batch_id, body, ingest_time)`` of all events."""
     return with_ingest_time(pack_bodies(faulty_events(table(spark, sf_dir, "events")), BATCH_SIZE))
+
+
+# --- broken bodies -----------------------------------------------------------
+
+
+def malformed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One body per order; ``o_orderkey % 16`` says what is wrong with it."""
+    key = F.col("o_orderkey").cast("string")
+    item = F.concat(
+        F.lit('{"order-placed":{"o_orderkey":'), key,
+        F.lit(',"o_custkey":1,"o_orderstatus":"O","o_totalprice":2.5,"o_orderdate":"2024-01-01 00:00:00"}}'),
+    )
+    cases = [
+        F.concat(F.lit("["), item, F.lit("]")),
+        F.lit("this is not json"),
+        F.lit('{"not":"an array"}'),
+        F.lit("[]"),
+        F.lit("null"),
+        F.lit("[1]"),
+        F.lit("[null]"),
+        F.concat(F.lit("["), item, F.lit("] x")),
+        F.concat(F.lit("["), item, F.lit("] [1]")),
+        F.lit('[{"order-placed":null}]'),
+        F.lit('[{"order-placed":"x"},{"order-placed":[]}]'),
+        F.lit("[{'order-placed':{}}]"),
+        F.lit("  [ ]\t"),
+        F.concat(F.lit(" [ "), item, F.lit(" ,\r\n"), item, F.lit("] ")),
+        F.concat(F.lit("["), item, F.lit(',{"ghost":{}}]')),
+        F.lit(""),
+    ]
+    body = F.get(F.array(*cases), F.pmod("o_orderkey", F.lit(16)).cast("int"))
+    orders = table(spark, sf_dir, "orders")
+    return with_ingest_time(orders.select(F.col("o_orderkey").alias("batch_id"), body.alias("body")))
+
+
+# --- every literal against every type ------------------------------------------
+
+# A JSON literal and the column types that accept it.
+LITERALS = [
+    ("true", "bool"),
+    ("false", "bool"),
+    ("1", "int real"),
+    ("1.0", "int real"),
+    ("1e3", "int real"),
+    ("1.5", "real"),
+    ("-7", "int real"),
+    ("12345678901234567890", "real"),
+    ("9223372036854775807", "int real"),
+    ("null", ""),
+    ("{}", ""),
+    ("[]", ""),
+    ('{"a":1}', ""),
+    ('""', "string"),
+    ('"5"', "string dynamic"),
+    ('"true"', "string dynamic"),
+    ('"2024-01-01 00:00:00"', "string datetime"),
+    ('"2024-01-01 1:02:03,5"', "string datetime"),
+    ('"2024-01-01 00:00:00.123456789"', "string datetime"),
+    ('"2024-02-29 23:59:59"', "string datetime"),
+    ('"2023-02-29 00:00:00"', "string"),
+    ('"2024-02-30 00:00:00"', "string"),
+    ('"2024-01-01"', "string"),
+    ('"2024-01-01T00:00:00"', "string"),
+    ('"2024-01-01 24:00:00"', "string"),
+    ('"2024-01-01 00:00:60"', "string"),
+    ('"2024-01-01 00:00:00 "', "string"),
+    ('"2024-01-01 00:00:00\\n"', "string"),
+    ('"1h30m"', "string timespan"),
+    ('"7d"', "string timespan"),
+    ('"1.5d"', "string timespan"),
+    ('"1d12h30m"', "string timespan"),
+    ('"2days"', "string"),
+    ('"-1h"', "string timespan"),
+    ('"1d-2h"', "string timespan"),
+    ('"1d+5m"', "string timespan"),
+    ('"+5m"', "string timespan"),
+    ('"-1d"', "string"),
+    ('"0"', "string timespan dynamic"),
+    ('".5h"', "string timespan"),
+    ('"1.h"', "string timespan"),
+    ('"100us"', "string timespan"),
+    ('"1µs"', "string timespan"),
+    ('"1h 30m"', "string"),
+    ('"1H"', "string"),
+    ('"d"', "string"),
+    ('".d"', "string"),
+    ('"1d1"', "string"),
+    ('"1h-5m"', "string"),
+    ('"5m\\n"', "string"),
+    ('"{\\"a\\":1}"', "string dynamic"),
+    ('"{\\"a\\":1,\\"a\\":2}"', "string dynamic"),
+    ('"  {} "', "string dynamic"),
+    ('"null"', "string dynamic"),
+    ('"\\"x\\""', "string dynamic"),
+    ('"{bad}"', "string"),
+    ('"[1] 2"', "string"),
+    ('"1],[2"', "string"),
+    ('"[1,]"', "string"),
+    ('"{\'a\':1}"', "string"),
+    ('"NaN"', "string"),
+    ('"01"', "string"),
+]
+CHECKED_KINDS = ["bool", "datetime", "dynamic", "int", "real", "string", "timespan"]
+PROBES = [ItemDefinition(f"probe-{kind}", (Field("no", "int"), Field("v", kind))) for kind in CHECKED_KINDS]
+
+
+def literal_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item per line item: a literal offered to a column of some type."""
+    no = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(len(LITERALS)))
+    kind = F.get(F.array(*[F.lit(k) for k in CHECKED_KINDS]), F.pmod("l_partkey", F.lit(len(CHECKED_KINDS))).cast("int"))
+    literal = F.get(F.array(*[F.lit(text) for text, _ in LITERALS]), no.cast("int"))
+    envelope = F.concat(
+        F.lit('{"probe-'), kind, F.lit('":{"no":'), no.cast("string"), F.lit(',"v":'), literal, F.lit("}}")
+    )
+    lines = table(spark, sf_dir, "lineitem")
+    return pack_bodies(lines.select(F.monotonically_increasing_id().alias("seq"), envelope.alias("envelope")), 200)
+
+
+# --- definitions made from parts -----------------------------------------------------
+
+_GOOD_COLUMNS = (
+    '[{"name":"size","type":"int"},{"name":"price","type":"real","defaultValue":1.5},'
+    '{"name":"seen","type":"datetime","optional":true}]'
+)
+
+
+def definition_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq, definition)``, one per part; ``p_partkey % 24`` picks the fault."""
+    name = F.concat(F.lit('"name":"part-'), F.col("p_partkey").cast("string"), F.lit('"'))
+    columns = F.lit(f'"orderedColumns":{_GOOD_COLUMNS}')
+
+    def text(*members: Column) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+
+    def with_columns(columns_json: str) -> Column:
+        return text(name, F.lit(f'"orderedColumns":{columns_json}'))
+
+    latency = F.concat(F.lit('"latencyMinutes":'), F.col("p_size").cast("string"))
+    folder = F.concat(F.lit('"folder":"'), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit('"'))
+    cases = [
+        text(name, _text_member("documentation", F.col("p_name")), folder, latency, columns),
+        text(columns),
+        text(F.lit('"name":"ingest_time"'), columns),
+        text(F.lit('"name":"Part-1"'), columns),
+        text(F.lit('"name":"pa"'), columns),
+        text(name, F.lit('"documentation":5'), columns),
+        text(name, F.lit('"folder":"ab"'), columns),
+        text(name, F.lit('"folder":7'), columns),
+        text(name, F.lit('"latencyMinutes":1.5'), columns),
+        text(name, F.lit('"latencyMinutes":-1'), columns),
+        text(name, F.lit('"latencyMinutes":"x"'), columns),
+        text(name),
+        with_columns("[]"),
+        with_columns('[{"type":"int"}]'),
+        with_columns('[{"name":"ingest_time","type":"datetime"}]'),
+        with_columns('[{"name":"a","type":"int"},{"name":"b"}]'),
+        with_columns('[{"name":"a","type":"blob"}]'),
+        with_columns('[{"name":"a","type":"bool","defaultValue":"x"}]'),
+        with_columns('[{"name":"a","type":"int","defaultValue":1.5}]'),
+        with_columns('[{"name":"a","type":"int"},{"name":"a","type":"real"},{"name":"b","type":"blob"}]'),
+        F.lit("{bad"),
+        with_columns('[{"name":"a","type":"int","optional":"yes"}]'),
+        with_columns('[{"name":"v","type":"timespan","defaultValue":"1d2h"}]'),
+        with_columns('[{"name":"a","type":"dynamic","defaultValue":"[1]"}]'),
+    ]
+    chosen = F.get(F.array(*cases), F.pmod("p_partkey", F.lit(24)).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), chosen.alias("definition"))
+
+
+def repeated_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid definitions of few names; a third of them share one name."""
+    key = F.col("p_partkey")
+    name = F.when(key % 3 == 0, F.lit("brand-hot")).otherwise(F.concat(F.lit("brand-"), (key % 50).cast("string")))
+    text = F.concat(F.lit('{"name":"'), name, F.lit(f'","orderedColumns":{_GOOD_COLUMNS}}}'))
+    return table(spark, sf_dir, "part").select(key.alias("seq"), text.alias("definition"))
+
+
+def declared_and_stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Declared types and schema files that agree with them, or do not, by ``p_partkey % 6``."""
+    key = F.col("p_partkey")
+    type_name = F.concat(F.lit("part-"), key.cast("string"))
+    columns = "array<struct<name:string,type:string>>"
+
+    def listed(*pairs: tuple[str, str]) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in pairs]).cast(columns)
+
+    declared = table(spark, sf_dir, "part").select(
+        type_name.alias("type_name"),
+        listed(("size", "int"), ("price", "real"), ("seen", "datetime")).alias("columns"),
+    )
+    time = ("ingest_time", "datetime")
+    stored_columns = (
+        F.when(key % 6 == 1, listed(time, ("size", "int"), ("price", "real")))
+        .when(key % 6 == 2, listed(time, ("size", "int"), ("cost", "real"), ("seen", "datetime")))
+        .when(key % 6 == 3, listed(time, ("size", "int"), ("price", "real"), ("seen", "string")))
+        .otherwise(listed(time, ("size", "int"), ("price", "real"), ("seen", "datetime")))
+    )
+    text = F.to_json(F.struct(type_name.alias("name"), stored_columns.alias("orderedColumns")))
+    stored = (
+        table(spark, sf_dir, "part")
+        .where(key % 6 != 5)
+        .select(type_name.alias("declared_as"), F.when(key % 6 == 4, F.lit("{bad")).otherwise(text).alias("sidecar"))
+    )
+    return declared, stored
+
+
+def sidecar_root(spark: SparkSession, sf_dir: str, faulty: bool) -> str:
+    """A root with one schema file per supplier, the suppliers of a nation in one folder."""
+    from telemill.session import scratch_dir
+
+    root = scratch_dir(spark, "sidecars")
+    key = F.col("s_suppkey")
+    columns = "array<struct<name:string,type:string>>"
+    good = F.array(
+        F.struct(F.lit("ingest_time").alias("name"), F.lit("datetime").alias("type")),
+        F.struct(F.lit("acctbal").alias("name"), F.lit("real").alias("type")),
+    ).cast(columns)
+    name = F.concat(F.lit("supplier-"), key.cast("string"))
+    stored = good
+    if faulty:
+        name = F.when(key % 5 == 1, F.lit("")).otherwise(name)
+        odd = F.array(F.struct(F.lit("x").alias("name"), F.lit("blob").alias("type"))).cast(columns)
+        stored = F.when(key % 5 == 2, F.array().cast(columns)).when(key % 5 == 3, odd).otherwise(good)
+    files = table(spark, sf_dir, "supplier").select(
+        name.alias("name"),
+        stored.alias("orderedColumns"),
+        F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("bucket"),
+    )
+    files.write.option("maxRecordsPerFile", 1).partitionBy("bucket").json(root)
+    return root
