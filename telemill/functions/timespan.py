@@ -94,7 +94,7 @@ def format_timespan(nanos: Column) -> Column:
         .when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m"), seconds))
         .otherwise(seconds)
     )
-    return F.when(nanos < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(nanos < 0, F.concat(F.lit("-"), text)).when(nanos.isNotNull(), text)
 
 
 def to_interval(nanos: Column) -> Column:

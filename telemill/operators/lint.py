@@ -15,6 +15,7 @@ from telemill.functions.strict_json import (
     parse_strict,
 )
 from telemill.functions.timespan import is_timespan
+from telemill.session import quoted, settle
 
 OK = "ok"
 
@@ -124,24 +125,25 @@ def lint_definitions(texts: DataFrame, text_col: str = "definition") -> DataFram
     columns = F.transform(
         F.col("__entries"), lambda e: F.struct(_string(e["name"]).alias("name"), _string(e["type"]).alias("type"))
     )
-    kept = [c for c in texts.columns]
-    result = judged.select(
-        *kept,
-        name.alias("name"),
-        F.coalesce(_string(folder), name).alias("folder"),
-        F.when(_absent(latency), F.lit(DEFAULT_LATENCY_MINUTES).cast("bigint"))
-        .otherwise(F.try_variant_get(latency, "$", "bigint"))
-        .alias("latency_minutes"),
-        columns.alias("columns"),
-        verdict.alias("verdict"),
+    kept = [quoted(c) for c in texts.columns]
+    settled = settle(
+        judged,
+        kept,
+        {
+            "name": name,
+            "folder": F.coalesce(_string(folder), name),
+            "latency_minutes": F.when(_absent(latency), F.lit(DEFAULT_LATENCY_MINUTES).cast("bigint")).otherwise(
+                F.try_variant_get(latency, "$", "bigint")
+            ),
+            "columns": columns,
+            "verdict": verdict,
+        },
     )
     good = F.col("verdict") == OK
-    return result.select(
+    return settled.select(
         *kept,
         "name",
-        F.when(good, F.col("folder")).alias("folder"),
-        F.when(good, F.col("latency_minutes")).alias("latency_minutes"),
-        F.when(good, F.col("columns")).alias("columns"),
+        *[F.when(good, F.col(c)).alias(c) for c in ("folder", "latency_minutes", "columns")],
         "verdict",
     )
 
@@ -206,7 +208,8 @@ def read_sidecars(texts: DataFrame, text_col: str = "sidecar") -> DataFrame:
         .when(F.coalesce(F.size("columns"), F.lit(0)) < 1, F.lit("no columns"))
         .when(~known, F.lit("unknown column type"))
     )
-    return opened.withColumn("problem", problem).drop("__m")
+    kept = [quoted(c) for c in texts.columns]
+    return settle(opened, [*kept, F.col("type_name"), F.col("columns")], {"problem": problem})
 
 
 def detect_schema_drift(declared: DataFrame, stored: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ NAME_FORMAT = "yyyy-MM-dd_HH-mm-ss.SSS"
 
 # A block of the time axis is one task's work. Times count in milliseconds, so
 # a block holds at most its own length of distinct times, whatever the volume.
-MIN_BLOCK_MS = 60 * MINUTE_MS
+MIN_BLOCK_MS = 360 * MINUTE_MS
 # Up to this many rows the block summaries are chained in one step per type,
 # beyond it as a tree.
 FLAT_CHAIN_ROWS = 1_000_000
@@ -76,9 +76,10 @@ def assign_aligned(
 # at or after e, and e itself if there is none (no row in the block restarts).
 
 
-def _block_function(times: np.ndarray, block_start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _block_function(times: np.ndarray, last_end: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Function of a block with these ``times``, for ends up to ``last_end``."""
     following = np.searchsorted(times, times + width)
-    entries = np.arange(min(len(times), int(np.searchsorted(times, block_start + width)) + 1))
+    entries = np.arange(min(len(times), int(np.searchsorted(times, last_end)) + 1))
     last = entries.copy()
     while True:
         step = following[last]
@@ -151,7 +152,10 @@ def anchored_starts(
 
     def summarize(key, pdf: pd.DataFrame) -> pd.DataFrame:
         type_no, node = key
-        found = _block_function(np.sort(pdf["ms"].to_numpy()), node * blocks[type_no], widths[type_no])
+        # A segment from before the block ends within one width; a carried one may
+        # have started inside the block, or end after it.
+        last_end = max(node * blocks[type_no] + widths[type_no], entries.get(type_no, _NO_ENTRY))
+        found = _block_function(np.sort(pdf["ms"].to_numpy()), last_end, widths[type_no])
         return pd.DataFrame({"type_no": type_no, "node": node - lo, "key": found[0], "out": found[1]})
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
