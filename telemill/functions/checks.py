@@ -72,10 +72,16 @@ def present_error(kind: str, name: str, field: SparkColumn) -> SparkColumn:
     if kind == "bool":
         return F.when(kind_now != "BOOLEAN", wrong_type)
     if kind == "real":
-        return F.when(~is_number(field) | F.abs(_as_double(field)).isin(float("inf")), wrong_type)
+        finite = kind_now.startswith("DECIMAL") | (kind_now == "BIGINT")
+        too_large = F.abs(_as_double(field)) == float("inf")
+        return F.when(finite, none).when(~is_number(field) | too_large, wrong_type)
     if kind == "int":
         fraction = error("invalid_field_type", name_col, F.format_string("%f", _as_double(field)))
-        return F.when(~is_number(field), wrong_type).when(_integral(field).isNull(), fraction)
+        return (
+            F.when(kind_now == "BIGINT", none)
+            .when(~is_number(field), wrong_type)
+            .when(_integral(field).isNull(), fraction)
+        )
     text = _text(field)
     if kind == "string":
         return F.when(kind_now != "STRING", wrong_type)

@@ -37,21 +37,18 @@ def split_envelopes(bodies: DataFrame) -> DataFrame:
     carried = [quoted(c) for c in bodies.columns if c != "body"]
     body = F.coalesce(F.col("body"), F.lit(""))
 
-    parsed = bodies.select(
-        *carried,
-        F.col("body"),
-        is_empty_array(body).alias("__empty"),
-        marked_array(body).alias("__marked"),
-    )
+    parsed = bodies.select(*carried, F.col("body"), marked_array(body).alias("__marked"))
     elements = F.slice(F.col("__marked"), F.lit(1), F.size("__marked") - 1)
     # One element that is neither an object nor null spoils the whole body.
     all_items = F.forall(elements, lambda e: F.is_variant_null(e) | is_object(e))
-    complete = F.coalesce(ends_with_marker(F.col("__marked")) & all_items, F.lit(False))
-    judged = parsed.select(
+    fault = F.when(~F.coalesce(ends_with_marker(F.col("__marked")) & all_items, F.lit(False)),
+                   F.when(is_empty_array(body), F.lit(EMPTY_BODY)).otherwise(F.lit(BODY_ERROR)))
+    faulted = parsed.select(*carried, F.col("body"), F.col("__marked"), fault.alias("__fault"))
+    judged = faulted.select(
         *carried,
-        F.when(F.col("__empty"), F.lit(EMPTY_BODY)).when(~complete, F.lit(BODY_ERROR)).alias("__fault"),
-        F.when(~F.col("__empty") & complete, elements).alias("__elements"),
-        F.when(~F.col("__empty") & ~complete, clip(body)).alias("__head"),
+        F.col("__fault"),
+        F.when(F.col("__fault").isNull(), elements).alias("__elements"),
+        F.when(F.col("__fault") == BODY_ERROR, clip(body)).alias("__head"),
     )
     rows = judged.select(
         *carried, "__fault", "__head", F.posexplode_outer("__elements").alias("__pos", "__element")

@@ -38,7 +38,11 @@ def route_by_type(type_name: Column, definitions: Iterable[ItemDefinition]) -> C
 @lru_cache(maxsize=4096)
 def _compiled_errors(definition: ItemDefinition, gateway: int) -> Column:
     found = [field_error(c, F.col("__fields")[c.name]) for c in definition.columns]
-    return F.array_compact(F.array(*found)).cast(f"array<{ERROR_TYPE}>")
+    # Most items are right: only those that are not get an array put together.
+    nothing = F.array().cast(f"array<{ERROR_TYPE}>")
+    return F.when(F.coalesce(*found).isNull(), nothing).otherwise(
+        F.array_compact(F.array(*found)).cast(f"array<{ERROR_TYPE}>")
+    )
 
 
 @lru_cache(maxsize=4096)

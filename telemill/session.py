@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Stored timestamps carry no zone and are read as UTC; a repeated JSON key keeps
-# its last value; column and type names are exact, so "Id" is not "id".
+# its last value; column and type names are exact, so "Id" is not "id". Checks
+# of wide types compile to long methods, and the JVM only interprets methods over
+# 8000 bytes: beyond that operators are better off compiled one by one.
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.caseSensitive": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
