@@ -150,7 +150,7 @@ def anchored_starts(
     if lo is None:
         lo = hi = 0
 
-    def summarize(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         type_no, node = key
         # A segment from before the block ends within one width; a carried one may
         # have started inside the block, or end after it.
@@ -158,14 +158,14 @@ def anchored_starts(
         found = _block_function(np.sort(pdf["ms"].to_numpy()), last_end, widths[type_no])
         return pd.DataFrame({"type_no": type_no, "node": node - lo, "key": found[0], "out": found[1]})
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         type_no, parent = key
         total = None
         for _, function in _nodes(pdf):
             total = function if total is None else _then(total, function)
         return pd.DataFrame({"type_no": type_no, "node": parent, "key": total[0], "out": total[1]})
 
-    def descend(key, pdf: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
+    def descend(key: tuple, pdf: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
         type_no = key[0]
         end = int(parents["entry"].iloc[0]) if len(parents) else entries.get(type_no, _NO_ENTRY)
         rows = []
@@ -174,7 +174,7 @@ def anchored_starts(
             end = int(_answer(keys, outs, np.array([end]))[0])
         return pd.DataFrame(rows, columns=["type_no", "node", "entry"])
 
-    def list_starts(key, pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    def list_starts(key: tuple, pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         type_no, width, found = key[0], widths[key[0]], []
         if len(pdf) and len(given):
             ms = np.sort(pdf["ms"].to_numpy())
