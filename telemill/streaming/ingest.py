@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +54,8 @@ class StreamIngest:
         if path_exists(self.spark, path):
             plan = json.loads(read_text(self.spark, path))
         else:
-            now = self.spark.range(1).select(
-                F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSS").alias("now")
-            )
-            plan = {"ingest_time": now.first().now, "definitions": [d.to_json() for d in self.definitions()]}
+            now = datetime.now(timezone.utc).isoformat(sep=" ", timespec="milliseconds")[:23]
+            plan = {"ingest_time": now, "definitions": [d.to_json() for d in self.definitions()]}
             write_text(self.spark, path, json.dumps(plan))
         return plan["ingest_time"], [ItemDefinition.from_json(text) for text in plan["definitions"]]
 

@@ -40,6 +40,11 @@ def _events(select: str) -> str:
     return f"WITH {_EV.strip()}\n{select}"
 
 
+def _measures(**totals: str) -> str:
+    rows = [f"SELECT '{name}' AS measure, CAST((SELECT {total}) AS BIGINT) AS value" for name, total in totals.items()]
+    return _events("\nUNION ALL ".join(rows))
+
+
 def _field(field: str, value: str, reason: str) -> str:
     return (
         "'ingest validate_field failed for item type ''user-event'' with input ''field:" + field + " value:' || "
@@ -191,10 +196,14 @@ FROM ev GROUP BY batch_id, ingest_time"""),
 SELECT 'user-event' AS type_name, make_timestamp((epoch(ingest_time)::BIGINT // 120) * 120000000) AS segment,
        count(*) AS rows_written, max(ingest_time) AS last_write
 FROM good GROUP BY 2"""),
-    "operational_tables": _events("""
-SELECT (SELECT count(DISTINCT batch_id) FROM ev) AS batches, (SELECT count(*) FROM ev) AS items_in,
-       (SELECT count(*) FROM good) AS ingested, (SELECT count(*) FROM bad) AS rejected,
-       CAST(200 AS BIGINT) AS status, (SELECT count(*) FROM good) AS flushed"""),
+    "operational_tables": _measures(
+        batches="count(DISTINCT batch_id) FROM ev",
+        items_in="count(*) FROM ev",
+        ingested="count(*) FROM good",
+        rejected="count(*) FROM bad",
+        status="200",
+        flushed="count(*) FROM good",
+    ),
     "scan_table": _events("SELECT * EXCLUDE (batch_id, pos) FROM good"),
     "scan_where": _events("SELECT * EXCLUDE (batch_id, pos) FROM good WHERE value >= 20 AND event_type = 'click'"),
     "scan_project": _events("SELECT event_type, value FROM good"),
@@ -303,15 +312,21 @@ FROM supplier WHERE s_suppkey % 5 IN (1, 2, 3) GROUP BY s_suppkey % 5""",
 SELECT 'user-event' AS type_name, count(*) AS n, CAST(3 AS BIGINT) AS epochs FROM good
 UNION ALL SELECT 'order-placed', count(*), 3 FROM orders
 UNION ALL SELECT 'customer-seen', count(*), 3 FROM customer"""),
-    "stream_report": _events("""
-SELECT (SELECT count(DISTINCT batch_id) FROM ev) AS batches, (SELECT count(*) FROM ev) AS items_in,
-       (SELECT count(*) FROM good) AS ingested, (SELECT count(*) FROM bad) AS rejected,
-       (SELECT count(*) FROM good) AS flushed, CAST(2 AS BIGINT) AS flushes, (SELECT count(*) FROM bad) AS quarantined"""),
-    "stream_hot_add_remove": _events("""
-SELECT (SELECT count(*) FROM good WHERE batch_id % 3 = 1) AS stored,
-       (SELECT min(event_id) FROM good WHERE batch_id % 3 = 1) AS first,
-       (SELECT max(event_id) FROM good WHERE batch_id % 3 = 1) AS last,
-       (SELECT count(*) FROM ev WHERE m NOT IN (9, 10) AND (batch_id % 3 <> 1 OR m = 0)) AS undefined"""),
+    "stream_report": _measures(
+        batches="count(DISTINCT batch_id) FROM ev",
+        items_in="count(*) FROM ev",
+        ingested="count(*) FROM good",
+        rejected="count(*) FROM bad",
+        flushed="count(*) FROM good",
+        flushes="2",
+        quarantined="count(*) FROM bad",
+    ),
+    "stream_hot_add_remove": _measures(
+        stored="count(*) FROM good WHERE batch_id % 3 = 1",
+        first="min(event_id) FROM good WHERE batch_id % 3 = 1",
+        last="max(event_id) FROM good WHERE batch_id % 3 = 1",
+        undefined="count(*) FROM ev WHERE m NOT IN (9, 10) AND (batch_id % 3 <> 1 OR m = 0)",
+    ),
     "stream_write_failure": _events("""
 SELECT 'order-placed' AS itemType, 'flush' AS operation, CAST(1 AS BIGINT) AS count_
 UNION ALL SELECT 'user-event', 'stored', count(*) FROM good

@@ -43,6 +43,13 @@ def query(fn: Query) -> Query:
     return run
 
 
+def measures(totals: DataFrame) -> DataFrame:
+    """One row of totals as ``(measure, value)`` rows."""
+    return totals.select(*[F.col(c).cast("bigint").alias(c) for c in totals.columns]).unpivot(
+        [], totals.columns, "measure", "value"
+    )
+
+
 # --- shared inputs -----------------------------------------------------------
 
 _STORED: dict[tuple[str, str], str] = {}
@@ -251,7 +258,7 @@ def operational_tables(spark, sf_dir):
         F.sum("rejected").alias("rejected"),
         F.max("statusCode").alias("status"),
     )
-    return totals.crossJoin(flushes.agg(F.sum("itemsFlushed").alias("flushed")))  # one row each
+    return measures(totals).unionByName(measures(flushes.agg(F.sum("itemsFlushed").alias("flushed"))))
 
 
 # --- stored tables and queries ----------------------------------------------------
@@ -507,16 +514,15 @@ def stream_report(spark, sf_dir):
     report = telemill.open_table(spark, root, INGEST_EVENT.name).df
     flushes = telemill.open_table(spark, root, WRITER_FLUSH.name).df
     kept = read_quarantine(spark, root)
-    return (
-        report.agg(
-            F.count("*").alias("batches"),
-            F.sum("itemsIn").alias("items_in"),
-            F.sum("ingested").alias("ingested"),
-            F.sum("rejected").alias("rejected"),
-        )
-        .crossJoin(flushes.agg(F.sum("itemsFlushed").alias("flushed"), F.count("*").alias("flushes")))
-        .crossJoin(kept.agg(F.count("*").alias("quarantined")))  # one row each
+    totals = report.agg(
+        F.count("*").alias("batches"),
+        F.sum("itemsIn").alias("items_in"),
+        F.sum("ingested").alias("ingested"),
+        F.sum("rejected").alias("rejected"),
     )
+    flushed = flushes.agg(F.sum("itemsFlushed").alias("flushed"), F.count("*").alias("flushes"))
+    quarantined = kept.agg(F.count("*").alias("quarantined"))
+    return measures(totals).unionByName(measures(flushed)).unionByName(measures(quarantined))
 
 
 @query
@@ -537,10 +543,8 @@ def stream_hot_add_remove(spark, sf_dir):
         stream.start(telemill.stream_batches(spark, source), checkpoint, every=None).awaitTermination()
     rows = telemill.open_table(spark, root, fx.USER_EVENT.name).df
     undefined = read_quarantine(spark, root).where(F.exists("errors", lambda e: e["code"] == "item_type_not_defined"))
-    return (
-        rows.agg(F.count("*").alias("stored"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
-        .crossJoin(undefined.agg(F.count("*").alias("undefined")))  # one row each
-    )
+    stored = rows.agg(F.count("*").alias("stored"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    return measures(stored).unionByName(measures(undefined.agg(F.count("*").alias("undefined"))))
 
 
 @query
