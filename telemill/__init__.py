@@ -4,7 +4,8 @@ from telemill.definitions import Column, ItemDefinition
 from telemill.operators.envelopes import pack_bodies, split_envelopes, wrap_rows
 from telemill.plans.ingest import IngestResult, ingest_batch
 from telemill.plans.query import Table, open_table, rows_as_json
-from telemill.session import configure_session
+from telemill.plans.store import store_batch
+from telemill.session import clear_scratch, configure_session
 from telemill.sources.batches import read_batches, stream_batches
 from telemill.sources.catalog import discover_catalog, discover_catalog_lenient, list_tables
 from telemill.sources.sinks import close_segment, prepare_tables, write_csv, write_table
@@ -20,6 +21,7 @@ __all__ = [
     "StreamIngest",
     "StreamRotation",
     "Table",
+    "clear_scratch",
     "close_segment",
     "configure_session",
     "discover_catalog",
@@ -35,6 +37,7 @@ __all__ = [
     "scan_roots",
     "scan_table",
     "split_envelopes",
+    "store_batch",
     "stream_batches",
     "wrap_rows",
     "write_csv",

@@ -7,15 +7,21 @@ later, and that row starts the next.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.session import cut_lineage, floor_div, join_lookup, quoted
 
+# The block functions below travel to the executors as code, so those need
+# numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MINUTE_MS = 60_000
 NAME_FORMAT = "yyyy-MM-dd_HH-mm-ss.SSS"
 

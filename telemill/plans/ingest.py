@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,21 +13,26 @@ from telemill.definitions import INGEST_TIME, ItemDefinition
 from telemill.operators.accounts import batch_report, write_ledger
 from telemill.operators.envelopes import split_envelopes
 from telemill.operators.validation import check_items, is_accepted, rejected_rows, typed_rows
-from telemill.session import configure_session, scratch_dir
+from telemill.session import configure_session, remove_path, scratch_dir
+
+
+def utc_now() -> str:
+    return datetime.now(timezone.utc).isoformat(sep=" ", timespec="milliseconds")[:23]
 
 
 def stamp(bodies: DataFrame, ingest_time: str | None = None) -> DataFrame:
     """One UTC millisecond ingest time per batch.
 
     A column ``ingest_time`` of the batches is used as it is, cut to
-    milliseconds; otherwise ``ingest_time`` (text) or the time of the query.
+    milliseconds; otherwise ``ingest_time`` (text), or the time of this call, so
+    that all results of one run agree. A stream takes the time of each trigger.
     """
     if INGEST_TIME in bodies.columns:
         time = F.col(INGEST_TIME).cast("timestamp_ntz")
-    elif ingest_time is not None:
-        time = F.lit(ingest_time).cast("timestamp_ntz")
-    else:
+    elif ingest_time is None and bodies.isStreaming:
         time = F.current_timestamp().cast("timestamp_ntz")
+    else:
+        time = F.lit(ingest_time or utc_now()).cast("timestamp_ntz")
     return bodies.withColumn(INGEST_TIME, F.date_trunc("MILLISECOND", time).cast("timestamp_ntz"))
 
 
@@ -36,6 +42,7 @@ class IngestResult:
 
     checked: DataFrame
     definitions: tuple[ItemDefinition, ...]
+    staged_at: str | None = None
 
     def accepted(self, type_name: str, keep: Iterable[str] = ()) -> DataFrame:
         definition = next(d for d in self.definitions if d.name == type_name)
@@ -66,7 +73,12 @@ class IngestResult:
         judged.write.partitionBy("route", "accepted").parquet(path)
         schema = judged.schema
         staged = spark.read.schema(schema).parquet(path)
-        return IngestResult(staged.select(*judged.columns), self.definitions)
+        return IngestResult(staged.select(*judged.columns), self.definitions, path)
+
+    def release(self) -> None:
+        """Remove the written copy of a staged result."""
+        if self.staged_at is not None:
+            remove_path(self.checked.sparkSession, self.staged_at)
 
 
 def ingest_batch(

@@ -62,13 +62,15 @@ def store_batch(
     load: str,
     ingest_time: str | None = None,
     instance: str = "telemill",
-) -> IngestResult:
+) -> None:
     """Ingest ``(batch_id, body)`` rows into the tables under ``root``."""
     definitions = list(definitions)
     prepare_tables(bodies.sparkSession, root, [*definitions, *ACCOUNT_TYPES])
     result = ingest_batch(bodies, definitions, ingest_time).staged()
-    store_result(result, root, load, instance)
-    return result
+    try:
+        store_result(result, root, load, instance)
+    finally:
+        result.release()
 
 
 def read_quarantine(spark, root: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 # Stored timestamps carry no zone and are read as UTC; a repeated JSON key keeps
 # its last value; column and type names are exact, so "Id" is not "id". Checks
@@ -57,6 +58,9 @@ def settle(df: DataFrame, kept: list[Column], computed: dict[str, Column]) -> Da
 # --- scratch space -----------------------------------------------------------
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, empty folder that every executor can reach.
 
@@ -68,7 +72,18 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="telemill-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the scratch folders this driver has made; call it when a job is done.
+
+    DataFrames that read them, such as assigned segments, cannot be used any more.
+    """
+    while _SCRATCH:
+        remove_path(spark, _SCRATCH.pop())
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
@@ -100,7 +115,7 @@ def join_lookup(big: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame
     """
     if lookup.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(lookup), keys, "left")
-    payload = [c for c in big.columns if c not in keys and big.schema[c].dataType.typeName() != "variant"]
+    payload = [f.name for f in big.schema if f.name not in keys and isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
     salt = F.pmod(F.xxhash64(*[quoted(c) for c in payload or keys]), F.lit(SALTS)).cast("int")
     salted = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("__salt", salt).join(salted, [*keys, "__salt"], "left").drop("__salt")

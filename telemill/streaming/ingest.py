@@ -6,7 +6,6 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from pyspark.storagelevel import StorageLevel
 from telemill.definitions import INGEST_TIME, ItemDefinition
 from telemill.operators.accounts import ACCOUNT_TYPES, WRITER_ERROR
 from telemill.operators.segments import assign_anchored
-from telemill.plans.ingest import ingest_batch
+from telemill.plans.ingest import ingest_batch, utc_now
 from telemill.plans.store import store_result
 from telemill.session import configure_session, path_exists, read_text, write_text
 from telemill.sources.sinks import closed_epoch, prepare_tables, stream_load, write_table
@@ -54,8 +53,7 @@ class StreamIngest:
         if path_exists(self.spark, path):
             plan = json.loads(read_text(self.spark, path))
         else:
-            now = datetime.now(timezone.utc).isoformat(sep=" ", timespec="milliseconds")[:23]
-            plan = {"ingest_time": now, "definitions": [d.to_json() for d in self.definitions()]}
+            plan = {"ingest_time": utc_now(), "definitions": [d.to_json() for d in self.definitions()]}
             write_text(self.spark, path, json.dumps(plan))
         return plan["ingest_time"], [ItemDefinition.from_json(text) for text in plan["definitions"]]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import telemill
 from telemill import Column, ItemDefinition
 from telemill.plans.store import read_quarantine, store_batch
-from telemill.session import read_text, write_text
+from telemill.session import path_exists, read_text, write_text
 from telemill.sources import sinks
 from telemill.sources.catalog import CatalogError, find_table
 from telemill.sources.sinks import prepare_tables, scan_definition, stream_load
@@ -282,3 +282,19 @@ def test_ingest_time_column_comes_first_and_is_cut(spark):
     df = bodies(spark, BODY).withColumn("ingest_time", F.lit(dt.datetime(2024, 6, 1, 1, 2, 3, 456789)).cast("timestamp_ntz"))
     row = telemill.ingest_batch(df, [QUERY_TEST]).accepted("querytest").first()
     assert row[0] == dt.datetime(2024, 6, 1, 1, 2, 3, 456000)
+
+
+def test_rebalanced_write_and_one_time_per_run(spark, root):
+    rows = telemill.ingest_batch(bodies(spark, *[BODY] * 40), [QUERY_TEST]).accepted("querytest")
+    assert rows.select("ingest_time").distinct().collect() == rows.select("ingest_time").distinct().collect()
+    prepare_tables(spark, root, [QUERY_TEST])
+    telemill.write_table(rows.repartition(8), root, QUERY_TEST, "one", rebalance=True)
+    stored = telemill.scan_table(spark, root, "querytest")
+    assert stored.count() == 120 and len(stored.inputFiles()) == 1
+
+
+def test_release_removes_the_staged_copy(spark):
+    result = telemill.ingest_batch(bodies(spark, BODY), [QUERY_TEST]).staged()
+    assert path_exists(spark, result.staged_at) and result.accepted("querytest").count() == 3
+    result.release()
+    assert not path_exists(spark, result.staged_at)
