@@ -36,13 +36,8 @@ def route_by_type(type_name: Column, definitions: Iterable[ItemDefinition]) -> C
 
 
 @lru_cache(maxsize=4096)
-def _compiled_errors(definition: ItemDefinition, gateway: int) -> Column:
-    found = [field_error(c, F.col("__fields")[c.name]) for c in definition.columns]
-    # Most items are right: only those that are not get an array put together.
-    nothing = F.array().cast(f"array<{ERROR_TYPE}>")
-    return F.when(F.coalesce(*found).isNull(), nothing).otherwise(
-        F.array_compact(F.array(*found)).cast(f"array<{ERROR_TYPE}>")
-    )
+def _compiled_errors(definition: ItemDefinition, gateway: int) -> tuple[Column, ...]:
+    return tuple(field_error(c, F.col("__fields")[c.name]).cast(ERROR_TYPE) for c in definition.columns)
 
 
 @lru_cache(maxsize=4096)
@@ -65,28 +60,49 @@ def check_items(items: DataFrame, definitions: Iterable[ItemDefinition]) -> Data
     type only. Rows without errors and with a route are accepted.
     """
     definitions = list(definitions)
-    by_type = F.array(error("item_type_not_defined"))
-    branches = None
-    for d in definitions:
-        test, errors = F.col("type_name") == d.name, _compiled_errors(d, _gateway())
-        branches = F.when(test, errors) if branches is None else branches.when(test, errors)
-    item_errors = by_type if branches is None else branches.otherwise(by_type)
+    kept = [quoted(c) for c in items.columns if c not in ("code", "value")]
+    opened = _with_fields(items, [*kept, F.col("code"), F.col("value")], definitions)
+
+    # One column per position, holding the error of that column of the item's own
+    # type: each check runs once, and each compiles to a method of its own.
+    compiled = [_compiled_errors(d, _gateway()) for d in definitions]
+    positions = max((len(errors) for errors in compiled), default=0)
+    by_position = []
+    for at in range(positions):
+        branches = None
+        for number, errors in enumerate(compiled):
+            if at < len(errors):
+                test = F.col("__type_no") == number
+                branches = F.when(test, errors[at]) if branches is None else branches.when(test, errors[at])
+        by_position.append(branches.alias(f"__error_{at}"))
+    probed = opened.select(*kept, F.col("code"), F.col("value"), F.col("__type_no"), *by_position)
+
+    nothing = F.array().cast(f"array<{ERROR_TYPE}>")
+    undefined = F.array(error("item_type_not_defined").cast(ERROR_TYPE))
     split_error = F.array(
         F.struct(F.col("code"), F.lit(None).cast("string").alias("field"), F.col("value")).cast(ERROR_TYPE)
     )
-    nothing = F.array().cast(f"array<{ERROR_TYPE}>")
-    kept = [quoted(c) for c in items.columns if c not in ("code", "value")]
-    route = F.when(F.col("kind") == ITEM, route_by_type(F.col("type_name"), definitions)).otherwise(F.lit(NO_ROUTE))
-    found = (
-        F.when(F.col("kind") == ITEM, item_errors).when(F.col("code").isNotNull(), split_error).otherwise(nothing)
+    found = F.when(F.col("kind") != ITEM, F.when(F.col("code").isNotNull(), split_error).otherwise(nothing)).when(
+        F.col("__type_no").isNull(), undefined
+    )
+    if positions:
+        of_item = [F.col(f"__error_{at}") for at in range(positions)]
+        # Most items are right: only those that are not get an array put together.
+        found = found.when(F.coalesce(*of_item).isNotNull(), F.array_compact(F.array(*of_item)))
+    return settle(
+        probed,
+        kept,
+        {"route": route_by_type(F.col("type_name"), definitions), "errors": found.otherwise(nothing)},
     )
-    opened = _with_fields(items, [*kept, F.col("code"), F.col("value")])
-    return settle(opened, kept, {"route": route, "errors": found})
 
 
-def _with_fields(items: DataFrame, kept: list[Column]) -> DataFrame:
-    """Add ``__fields``, the members of an item by name."""
-    return settle(items, kept, {"__fields": object_fields(F.col("data"))})
+def _with_fields(items: DataFrame, kept: list[Column], definitions: list[ItemDefinition] = ()) -> DataFrame:
+    """Add ``__fields``, the members of an item by name, and the number of its type."""
+    number = F.lit(None).cast("int")
+    for at, d in enumerate(definitions):
+        test = F.col("type_name") == d.name
+        number = F.when(test, F.lit(at)) if at == 0 else number.when(test, F.lit(at))
+    return settle(items, kept, {"__fields": object_fields(F.col("data")), "__type_no": number})
 
 
 def is_accepted() -> Column:
