@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import mixing, quality, simhash, substrings
+from telemill.llm import language, lines, mixing, neighbours, pii, quality, segmentation, simhash, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,11 +28,52 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = [pii.span_text(k, F.col(k)) for k in pii.BASE]
+    added = pii.span_text(F.col("added"), F.array_sort("added"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(F.array_join(F.concat(*base), ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(*base, added), ",").alias("spans"),
+    )
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of all pages are laid out as WARC records; a hash of the id decides which records of the second
+    are damaged or lost, and which the first lacks."""
+    records = warc.warc_layout(table(spark, sf_dir, "pages"))
+    fate = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2)
+    first = records.where(fate != "02")
+    damaged = F.when(fate == "00", F.concat(F.substring("record", 1, 100), F.lit("?").cast("binary"))).otherwise(F.col("record"))
+    second = records.where(fate != "01").withColumn("record", damaged)
+    return warc.audit(warc.leaves(first), warc.leaves(second)).select("file", "slot", "kind")
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).select(
@@ -41,6 +82,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segmentation.encode_samples(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "rank", F.size("ids").cast("bigint").alias("n_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        "log_prob", "inclusion", "round_trip",
+    )
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
