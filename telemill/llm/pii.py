@@ -169,7 +169,8 @@ def candidates(found: DataFrame) -> DataFrame:
     """Base spans per kind, and ``candidates``: ``struct(kind, start, stop, traits, good, free)``.
 
     ``traits`` has a bit per feature; ``good`` is the label: that a base span lies in the candidate or, for a
-    secret, that its value mixes letters and digits as no word does; ``free`` candidates overlap no base span.
+    secret, that its value mixes letters and digits as no word does; ``free`` candidates overlap no base span, or are
+    secrets, which go as a whole whatever digits in them look like.
     """
 
     def proposed(name: str) -> Column:
@@ -183,7 +184,7 @@ def candidates(found: DataFrame) -> DataFrame:
             return F.struct(
                 F.lit(name.removeprefix("loose_")).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"),
                 bits.alias("traits"), (covered | (F.lit(name == "loose_secret") & mixed)).alias("good"),
-                (~covered).alias("free"),
+                (~covered | F.lit(name == "loose_secret")).alias("free"),
             )
 
         return F.transform(name, one)
