@@ -19,26 +19,6 @@ from telemill.session import quoted, settle
 
 OK = "ok"
 
-# What is wrong with a definition -> text.
-DEFINITION_REASONS = {
-    "invalid_json": "definition is not a JSON object",
-    "missing_name": "name field is missing or invalid",
-    "reserved_name": '"ingest_time" is a reserved name',
-    "invalid_file_name": "invalid fileName format",
-    "invalid_documentation": "documentation field is not a string",
-    "invalid_folder": "folder field is invalid",
-    "invalid_latency": "latency field is not an integer",
-    "negative_latency": "latency cannot be negative",
-    "missing_columns": "orderedColumns field is missing or not an array",
-    "empty_columns": "orderedColumns field cannot be empty",
-    "invalid_column_name": "column name is missing or not a string",
-    "missing_column_type": "field type value missing or not a string",
-    "unsupported_column_type": "unsupported field/column type",
-    "inconsistent_default": "defaultValue inconsistent with column type",
-    "duplicate_column": "duplicate column name",
-    "already_exists": "definition with this name already exists",
-}
-
 _COLUMNS_TYPE = "array<struct<name:string,type:string>>"
 
 
@@ -247,6 +227,7 @@ def detect_schema_drift(declared: DataFrame, stored: DataFrame) -> DataFrame:
         .when(first.isNotNull(), F.lit("column_mismatch"))
         .otherwise(F.lit(OK))
     )
+    # The wording of both messages.
     detail = (
         F.when(F.col("verdict") == "column_count", F.format_string(
             "column count mismatch: stored schema has %d user columns, definition has %d",

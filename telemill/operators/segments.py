@@ -149,7 +149,8 @@ def anchored_starts(
         return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
 
     number = lookup({n: i for i, n in enumerate(names)}, F.col("type_name"))
-    numbered = times.select(number.alias("type_no"), "ms").distinct()
+    # Rows of unknown types are in no segment.
+    numbered = times.select(number.alias("type_no"), "ms").where("type_no IS NOT NULL AND ms IS NOT NULL").distinct()
     block = floor_div(F.col("ms"), lookup(blocks, F.col("type_no")).cast("bigint"))
     located = cut_lineage(numbered.select("type_no", block.alias("node"), "ms"), "segment-times")
     lo, hi = located.agg(F.min("node"), F.max("node")).first()

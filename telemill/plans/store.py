@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from telemill.definitions import INGEST_TIME, ItemDefinition
 from telemill.operators.accounts import (
     ACCOUNT_TYPES,
     INGEST_EVENT,
+    WRITER_ERROR,
     WRITER_FLUSH,
     flush_events,
     ingest_events,
@@ -21,6 +23,8 @@ from telemill.plans.ingest import IngestResult, ingest_batch
 from telemill.sources.sinks import prepare_tables, write_table
 
 QUARANTINE = "_quarantine"
+LEDGER = "_ledger"
+PARALLEL_WRITES = 8  # types stored at the same time, so that a slow one holds up no other
 
 # Stores the rows of one type under a load; None if they are stored already.
 Put = Callable[[DataFrame, ItemDefinition], "str | None"]
@@ -42,11 +46,26 @@ def store_result(result: IngestResult, root: str, load: str, instance: str, put:
         .agg(F.count("*").alias("rows"), F.max(INGEST_TIME).alias(INGEST_TIME))
         .collect()  # one row per defined type
     )
-    flushed = []
-    for row in counts:
-        path = put(result.accepted(row.route), by_name[row.route])
-        if path is not None:
-            flushed.append((row[INGEST_TIME], row.route, path, row.rows))
+
+
+    def store(row) -> tuple:
+        try:
+            return row, put(result.accepted(row.route), by_name[row.route]), None
+        except Exception as cause:  # noqa: BLE001 - raised below, once every other type is stored
+            when = row[INGEST_TIME]
+            record_failure(spark, root, row.route, cause, f"{load}-{row.route}-{time.time_ns()}", when, instance)
+            return row, None, cause
+
+    flushed, failed = [], []
+    with ThreadPoolExecutor(max_workers=PARALLEL_WRITES) as pool:
+        for row, path, cause in pool.map(store, counts):
+            if cause is not None:
+                failed.append(cause)
+            elif path is not None:
+                flushed.append((row[INGEST_TIME], row.route, path, row.rows))
+    if failed:
+        raise failed[0]
+    result.ledger.write.mode("overwrite").parquet(f"{root}/{LEDGER}/load={load}")
     result.rejected.write.mode("overwrite").parquet(f"{root}/{QUARANTINE}/load={load}")
     if flushed:
         schema = f"{INGEST_TIME} timestamp_ntz, type_name string, output string, rows bigint"
@@ -55,6 +74,19 @@ def store_result(result: IngestResult, root: str, load: str, instance: str, put:
     put(ingest_events(result.report, instance, elapsed), INGEST_EVENT)
 
 
+def record_failure(spark, root: str, type_name: str, cause: Exception, load: str, when, instance: str) -> None:
+    """Failed writes are an item type too; the failure itself is raised by the caller."""
+    columns = "instanceName string, itemType string, operation string, errorMsg string"
+    rows = spark.createDataFrame([(instance, type_name, "flush", str(cause))], columns)
+    rows = rows.select(F.lit(when).cast("timestamp_ntz").alias(INGEST_TIME), "*")
+    write_table(rows, root, WRITER_ERROR, load)
+
+
+def read_ledger(spark, root: str) -> DataFrame:
+    """Rows per type and segment of every load: ``(type_name, segment, rows_written, last_write, load)``."""
+    return spark.read.parquet(f"{root}/{LEDGER}")
+
+
 def store_batch(
     bodies: DataFrame,
     definitions: Iterable[ItemDefinition],

@@ -61,15 +61,26 @@ def settle(df: DataFrame, kept: list[Column], computed: dict[str, Column]) -> Da
 _SCRATCH: list[str] = []
 
 
+class ScratchError(RuntimeError):
+    """There is no folder that all executors can reach."""
+
+
+def _context_checkpoint_dir(spark: SparkSession) -> str | None:
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get() if found.isDefined() else None
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, empty folder that every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where
-    that is unset (tests on one machine) a local temporary folder is used, and
-    removed again at exit.
+    The cluster names its shared folder in ``spark.checkpoint.dir``, or the job by
+    ``SparkContext.setCheckpointDir``. Only where neither is set and everything runs in one
+    process a local temporary folder is used, and removed again at exit.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _context_checkpoint_dir(spark)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ScratchError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="telemill-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -154,13 +165,27 @@ def rename_path(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+# Stores in which a file appears whole or not at all when it is closed.
+_WHOLE_PUTS = ("s3", "s3a", "s3n", "gs", "abfs", "abfss", "wasb", "wasbs")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file; readers see the old text or the new one, also after a crash."""
     fs, p = _path(spark, path)
-    out = fs.create(p, True)
+    whole = fs.getUri().getScheme() in _WHOLE_PUTS
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = p if whole else hadoop.Path(p.getParent(), f"_{p.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(target, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    if not whole:
+        rename = getattr(hadoop, "Options$Rename")
+        options = spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(target), fs.makeQualified(p), options)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

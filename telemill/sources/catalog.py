@@ -61,9 +61,12 @@ def discover_catalog(spark: SparkSession, root: str) -> DataFrame:
     Folders without a schema file are not tables and are left out.
     """
     entries = _entries(spark, root)
-    bad = entries.where(F.col("problem").isNotNull()).select("path", "problem").head(3)
+    invalid = entries.where(F.col("problem").isNotNull()).select("path", "problem")
+    bad = invalid.orderBy("path").head(20)
     if bad:
-        raise CatalogError("; ".join(f"{row.path}: {row.problem}" for row in bad))
+        more = invalid.count() - len(bad)
+        rest = [f"and {more} more"] if more else []
+        raise CatalogError("; ".join([*(f"{row.path}: {row.problem}" for row in bad), *rest]))
     return _one_per_type(entries)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterable
 
@@ -12,14 +13,13 @@ from pyspark.sql import functions as F
 from telemill.definitions import INGEST_TIME, ItemDefinition, kind_of
 from telemill.functions.checks import value_to_text
 from telemill.operators.lint import OK, detect_schema_drift, read_sidecars
-from telemill.operators.segments import assign_aligned, segment_name
+from telemill.operators.segments import aligned_window, assign_aligned, segment_name
 from telemill.session import (
     _path,
     path_exists,
     quoted,
     read_text,
     remove_path,
-    rename_path,
     write_text,
 )
 from telemill.sources.catalog import TableEntry
@@ -29,9 +29,10 @@ from telemill.sources.tables import (
     DATE,
     LOAD,
     SEGMENT,
+    UNTIL,
     SchemaDriftError,
     csv_path,
-    replaced_loads,
+    hidden_loads,
     scan_parquet,
     sidecar_path,
     table_path,
@@ -62,8 +63,17 @@ def prepare_tables(spark: SparkSession, root: str, definitions: Iterable[ItemDef
         drifted = detect_schema_drift(declared, stored).where(F.col("verdict") != OK).collect()
         if drifted:
             raise SchemaDriftError("; ".join(f"{row.type_name}: {row.detail}" for row in drifted))
+    stored_texts = dict(texts)
     for d in definitions:
-        write_text(spark, paths[d.name], d.sidecar())
+        _check_names(c.name for c in d.columns)
+        if stored_texts.get(d.name) != d.sidecar():
+            write_text(spark, paths[d.name], d.sidecar())
+
+
+def _check_names(names: Iterable[str]) -> None:
+    taken = sorted({DATE, LOAD, SEGMENT, UNTIL}.intersection(names))
+    if taken:
+        raise ValueError(f"reserved column names: {', '.join(taken)}")
 
 
 def write_table(rows: DataFrame, root: str, definition: ItemDefinition, load: str, rebalance: bool = False) -> str:
@@ -73,6 +83,7 @@ def write_table(rows: DataFrame, root: str, definition: ItemDefinition, load: st
     twice. Rows are written where they are, without a shuffle; ``rebalance``
     trades one for evenly sized files (a large day is split, small ones joined).
     """
+    _check_names(rows.columns)
     path = f"{table_path(root, definition.folder, definition.name)}/{LOAD}={load}"
     dated = rows.withColumn(DATE, F.to_date(INGEST_TIME))
     if rebalance:
@@ -91,12 +102,21 @@ def _plain_kind(field) -> str | None:
     return "datetime" if field.dataType.typeName().startswith("timestamp") else None
 
 
-def write_csv(rows: DataFrame, root: str, definition: ItemDefinition) -> str:
-    """Export rows as header-less CSV, one folder per segment named by its first row."""
-    path = csv_path(root, definition.folder, definition.name)
-    named = assign_aligned(rows, definition.segment_minutes).withColumnRenamed("segment", SEGMENT)
-    cells = to_csv_cells(named.select(*[quoted(c) for c in rows.columns], SEGMENT))
-    cells.write.mode("append").partitionBy(SEGMENT).options(
+def write_csv(rows: DataFrame, root: str, definition: ItemDefinition, load: str = "export") -> str:
+    """Export rows as header-less CSV, one folder per segment named by its first row.
+
+    Writing the same load again replaces it. Below its name a segment says when its window
+    ends, so a period scan knows what it can hold. Rows are brought together by segment, and
+    large segments split, before they are written.
+    """
+    _check_names(rows.columns)
+    path = f"{csv_path(root, definition.folder, definition.name)}/{LOAD}={load}"
+    minutes = definition.segment_minutes
+    named = assign_aligned(rows, minutes).withColumnRenamed("segment", SEGMENT)
+    ends = aligned_window(F.col(INGEST_TIME), F.lit(minutes)) + F.make_dt_interval(mins=F.lit(minutes))
+    named = named.withColumn(UNTIL, segment_name(ends)).select(*[quoted(c) for c in rows.columns], SEGMENT, UNTIL)
+    cells = to_csv_cells(named).hint("rebalance", F.col(SEGMENT))
+    cells.write.mode("overwrite").partitionBy(SEGMENT, UNTIL).options(
         header="false",
         quote='"',
         escape='"',
@@ -109,38 +129,49 @@ def write_csv(rows: DataFrame, root: str, definition: ItemDefinition) -> str:
     return path
 
 
-def stream_load(stream: str, epoch: int) -> str:
-    """Load of one epoch of a stream."""
-    return f"{stream}-{epoch:012d}"
+def stream_load(stream: str, identity: str, epoch: int) -> str:
+    """Load of one epoch of a stream; ``identity`` is that of its checkpoint."""
+    return f"stream-{stream}-{identity}-{epoch:012d}"
+
 
+_STREAM_LOAD = re.compile(r"\A(stream-.*-[0-9a-f]{32})-([0-9]{12})\Z", re.DOTALL)
+# A stream repeats at most the epoch it had not committed, so old ones need not be remembered for ever.
+REMEMBERED_EPOCHS = 1000
 
-def closed_epoch(spark: SparkSession, path: str, stream: str) -> int:
-    """Highest epoch of ``stream`` that a closed segment of this table has, else -1."""
-    if not path_exists(spark, f"{path}/{CLOSED}"):
-        return -1
-    return json.loads(read_text(spark, f"{path}/{CLOSED}")).get(stream, -1)
+
+def _closed_epochs(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    return json.loads(read_text(spark, f"{path}/{CLOSED}")) if path_exists(spark, f"{path}/{CLOSED}") else {}
+
+
+def is_closed(spark: SparkSession, path: str, load: str) -> bool:
+    """Whether the rows of a stream's load are in a closed segment already."""
+    found = _STREAM_LOAD.match(load)
+    return found is not None and int(found[2]) in _closed_epochs(spark, path).get(found[1], [])
 
 
 def _remember_epochs(spark: SparkSession, path: str, loads: list[str]) -> None:
     # An epoch whose rows were closed before the stream could commit it is
     # repeated after a restart; it must not be stored a second time.
-    known = json.loads(read_text(spark, f"{path}/{CLOSED}")) if path_exists(spark, f"{path}/{CLOSED}") else {}
-    for load in loads:
-        stream, _, epoch = load.rpartition("-")
-        if stream and len(epoch) == 12 and epoch.isdigit():
-            known[stream] = max(known.get(stream, -1), int(epoch))
+    known = _closed_epochs(spark, path)
+    for found in filter(None, map(_STREAM_LOAD.match, loads)):
+        epochs = {*known.get(found[1], []), int(found[2])}
+        known[found[1]] = sorted(epochs)[-REMEMBERED_EPOCHS:]
     write_text(spark, f"{path}/{CLOSED}", json.dumps(known))
 
 
+def _is_committed(spark: SparkSession, path: str, load: str) -> bool:
+    """The marker is the last thing a write leaves; without it the write is in progress, or failed."""
+    return path_exists(spark, f"{path}/{LOAD}={load}/_SUCCESS")
+
+
 def _loads(spark: SparkSession, path: str) -> list[str]:
     fs, p = _path(spark, f"{path}/{LOAD}=*")
     return sorted(s.getPath().getName().split("=", 1)[1] for s in fs.globStatus(p) or [])
 
 
 def _finish_closing(spark: SparkSession, path: str) -> None:
-    """Tidy up after a compaction; also after one that was cut short."""
-    _, stale = replaced_loads(spark, path)
-    for load in stale:
+    """Tidy up after a compaction; also after one that was cut short, published or not."""
+    for load in hidden_loads(spark, path):
         remove_path(spark, f"{path}/{LOAD}={load}")
     if path_exists(spark, f"{path}/{CLOSING}"):
         remove_path(spark, f"{path}/{CLOSING}")
@@ -150,13 +181,14 @@ def close_segment(spark: SparkSession, root: str, definition: ItemDefinition) ->
     """Rotate: turn everything a type has in open loads into one closed segment.
 
     Rows are ordered by ingest time and spread over as many files as their size
-    asks for. The new segment is complete before it becomes visible, and from
-    that moment on readers skip the loads it replaces, which are then removed.
+    asks for. A small file says which loads readers skip: the new segment while it is
+    written, and, once that file is replaced, the loads in it, which are then removed.
+    Only finished writes are closed. One table is closed by one caller at a time.
     Returns the name of the closed load, or None if there was nothing to close.
     """
     path = table_path(root, definition.folder, definition.name)
     _finish_closing(spark, path)
-    loads = [load for load in _loads(spark, path) if not load.startswith("closed-")]
+    loads = [load for load in _loads(spark, path) if not load.startswith("closed-") and _is_committed(spark, path, load)]
     if not loads:
         return None
     entry = TableEntry(definition.name, definition.folder, root, tuple(definition.stored_columns))
@@ -170,11 +202,10 @@ def close_segment(spark: SparkSession, root: str, definition: ItemDefinition) ->
     spread = F.xxhash64(*[quoted(c) for c in entry_columns(entry)])
     ordered = rows.repartitionByRange(files, F.col(INGEST_TIME), spread).sortWithinPartitions(INGEST_TIME)
     closed = f"closed-{first}-{uuid.uuid4().hex[:8]}"
-    hidden = f"{path}/_new-{closed}"
-    ordered.withColumn(DATE, F.to_date(INGEST_TIME)).write.partitionBy(DATE).parquet(hidden)
+    write_text(spark, f"{path}/{CLOSING}", json.dumps({"hidden": [closed]}))
+    ordered.withColumn(DATE, F.to_date(INGEST_TIME)).write.partitionBy(DATE).parquet(f"{path}/{LOAD}={closed}")
     _remember_epochs(spark, path, loads)
-    write_text(spark, f"{path}/{CLOSING}", json.dumps({"closed": closed, "open": loads}))
-    rename_path(spark, hidden, f"{path}/{LOAD}={closed}")
+    write_text(spark, f"{path}/{CLOSING}", json.dumps({"hidden": loads}))
     _finish_closing(spark, path)
     return closed
 

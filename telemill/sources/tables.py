@@ -2,13 +2,15 @@
 
 ``root/<folder>/<type>.json``                                    schema file
 ``root/<folder>/<type>/__load=<id>/__date=<day>/*.parquet``      rows
-``root/<folder>/<type>.csv/__segment=<name>/*.csv``              exported rows
+``root/<folder>/<type>.csv/__load=<id>/__segment=<name>/__until=<end>/*.csv``  exported rows
 ``root/<folder>/<name>_<type>.csv`` (or without ``.csv``)        rows from elsewhere
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from telemill.functions.checks import value_from_text
 from telemill.session import _path, configure_session, path_exists, quoted, read_text
 from telemill.sources.catalog import TableEntry, discover_catalog, find_table
 
-LOAD, DATE, SEGMENT = "__load", "__date", "__segment"
+LOAD, DATE, SEGMENT, UNTIL = "__load", "__date", "__segment", "__until"
 CLOSING = "_closing.json"
 CSV_OPTIONS = {"header": "false", "quote": '"', "escape": '"', "lineSep": "\n", "multiLine": "true"}
 _SEGMENT_TIME = "%Y-%m-%d_%H-%M-%S.%f"
@@ -42,13 +44,11 @@ def csv_path(root: str, folder: str, type_name: str) -> str:
     return f"{table_path(root, folder, type_name)}.csv"
 
 
-def replaced_loads(spark: SparkSession, path: str) -> tuple[str | None, list[str]]:
-    """``(closed, open loads)`` of a compaction that was published but not tidied up."""
+def hidden_loads(spark: SparkSession, path: str) -> list[str]:
+    """Loads that readers skip: a closed segment being written, or those that it has replaced."""
     if not path_exists(spark, f"{path}/{CLOSING}"):
-        return None, []
-    plan = json.loads(read_text(spark, f"{path}/{CLOSING}"))
-    published = path_exists(spark, f"{path}/{LOAD}={plan['closed']}")
-    return (plan["closed"], plan["open"]) if published else (None, [])
+        return []
+    return json.loads(read_text(spark, f"{path}/{CLOSING}"))["hidden"]
 
 
 def _period(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
@@ -66,7 +66,7 @@ def scan_parquet(spark: SparkSession, entry: TableEntry, start: str | None = Non
         return spark.createDataFrame([], schema)
     placed = T.StructType([*schema.fields, T.StructField(LOAD, T.StringType()), T.StructField(DATE, T.DateType())])
     rows = spark.read.schema(placed).parquet(path)
-    _, stale = replaced_loads(spark, path)
+    stale = hidden_loads(spark, path)
     if stale:
         rows = rows.where(~F.col(LOAD).isin(stale))
     # Whole days are dropped by their folder, the rest by row-group statistics.
@@ -82,34 +82,61 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in fs.globStatus(p) or []]
 
 
-def csv_segments(spark: SparkSession, entry: TableEntry) -> list[tuple[str, str]]:
-    """``(segment name, path)`` of a type's CSV segments, in time order."""
+@dataclass(frozen=True)
+class CsvSegment:
+    """A folder or file of exported rows; ``until`` is where its window ends, None if nobody wrote that down."""
+
+    name: str
+    path: str
+    until: str | None = None
+
+
+def csv_segments(spark: SparkSession, entry: TableEntry) -> list[CsvSegment]:
+    """A type's CSV segments in the order of their names."""
     base = f"{entry.root}/{entry.folder}"
     flat = _glob(spark, f"{base}/*_{entry.type_name}.csv") + _glob(spark, f"{base}/*_{entry.type_name}")
-    found = [(p.rsplit("/", 1)[1][: -len("_" + entry.type_name + (".csv" if p.endswith(".csv") else ""))], p) for p in flat]
-    for p in _glob(spark, f"{csv_path(entry.root, entry.folder, entry.type_name)}/{SEGMENT}=*"):
-        found.append((p.rsplit("=", 1)[1], p))
-    return sorted(found)
+    found = []
+    for p in flat:
+        end = "_" + entry.type_name + (".csv" if p.endswith(".csv") else "")
+        found.append(CsvSegment(p.rsplit("/", 1)[1][: -len(end)], p))
+    exported = csv_path(entry.root, entry.folder, entry.type_name)
+    for p in _glob(spark, f"{exported}/{LOAD}=*/{SEGMENT}=*/{UNTIL}=*"):
+        name, until = (part.split("=", 1)[1] for part in p.rsplit("/", 2)[1:])
+        found.append(CsvSegment(name, p, until))
+    return sorted(found, key=lambda s: (s.name, s.path))
 
 
-def segments_in_period(
-    segments: list[tuple[str, str]], start: str | None, end: str | None, skew_seconds: float = 60.0
-) -> list[tuple[str, str]]:
-    """Segments that can hold rows of ``[start, end)``.
+def _segment_time(name: str | None) -> datetime | None:
+    try:
+        return datetime.strptime(name, _SEGMENT_TIME) if name else None
+    except ValueError:
+        return None
+
 
-    A segment holds rows from its own name up to the next one's. Writers may be
-    out of order by ``skew_seconds``, so both ends are widened; the rows are
-    filtered exactly afterwards.
+def segments_in_period(
+    segments: list[CsvSegment], start: str | None, end: str | None, skew_seconds: float | None = None
+) -> list[CsvSegment]:
+    """Segments that can hold rows of ``[start, end)``; the rows are filtered exactly afterwards.
+
+    An exported segment holds rows from its first one's time, its name, up to the end of its window. A file from elsewhere is
+    only known to begin at its name; it is taken to be late by up to ``skew_seconds`` and to go on without end,
+    or, if ``skew_seconds`` is given, no further than that beyond the next file's name. A
+    name that holds no time rules nothing out.
     """
-    skew = timedelta(seconds=skew_seconds)
-    times = [datetime.strptime(name, _SEGMENT_TIME) for name, _ in segments]
-    lo = datetime.fromisoformat(start) - skew if start is not None else None
-    hi = datetime.fromisoformat(end) + skew if end is not None else None
+    slack = timedelta(seconds=60.0 if skew_seconds is None else skew_seconds)
+    lo = datetime.fromisoformat(start) if start is not None else None
+    hi = datetime.fromisoformat(end) if end is not None else None
+    foreign = sorted(t for t in (_segment_time(s.name) for s in segments if s.until is None) if t is not None)
     kept = []
-    for i, segment in enumerate(segments):
-        following = times[i + 1] if i + 1 < len(times) else None
-        too_early = lo is not None and following is not None and following < lo
-        too_late = hi is not None and times[i] > hi
+    for segment in segments:
+        first, last = _segment_time(segment.name), _segment_time(segment.until)
+        if first is not None and segment.until is None:
+            following = bisect_right(foreign, first)
+            if skew_seconds is not None and following < len(foreign):
+                last = foreign[following] + slack
+            first -= slack
+        too_early = lo is not None and last is not None and last < lo
+        too_late = hi is not None and first is not None and first >= hi
         if not too_early and not too_late:
             kept.append(segment)
     return kept
@@ -120,14 +147,14 @@ def scan_csv(
     entry: TableEntry,
     start: str | None = None,
     end: str | None = None,
-    skew_seconds: float = 60.0,
+    skew_seconds: float | None = None,
 ) -> DataFrame:
     schema = stored_schema(list(entry.columns))
     segments = segments_in_period(csv_segments(spark, entry), start, end, skew_seconds)
     if not segments:
         return spark.createDataFrame([], schema)
     cells = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(cells).options(**CSV_OPTIONS).csv([path for _, path in segments])
+    raw = spark.read.schema(cells).options(**CSV_OPTIONS).csv([s.path for s in segments])
     typed = raw.select(
         *[
             value_from_text(kind, quoted(name)).alias(name, metadata=schema[name].metadata)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,12 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
 from telemill.definitions import INGEST_TIME, ItemDefinition
-from telemill.operators.accounts import ACCOUNT_TYPES, WRITER_ERROR
+from telemill.operators.accounts import ACCOUNT_TYPES
 from telemill.operators.segments import assign_anchored
 from telemill.plans.ingest import ingest_batch, utc_now
 from telemill.plans.store import store_result
 from telemill.session import configure_session, path_exists, read_text, write_text
-from telemill.sources.sinks import closed_epoch, prepare_tables, stream_load, write_table
+from telemill.sources.sinks import is_closed, prepare_tables, stream_load, write_table
 from telemill.sources.tables import table_path
 
 EPOCHS = "_epochs"
@@ -40,6 +40,7 @@ class StreamIngest:
     instance: str = "telemill"
     writer: Callable[..., str] = field(default=write_table)
     _prepared: list[ItemDefinition] | None = field(default=None, init=False)
+    _identity: str = field(default="0" * 32, init=False)
 
     # --- one epoch -----------------------------------------------------------
 
@@ -49,33 +50,27 @@ class StreamIngest:
         A repeated epoch then stores exactly the rows of the first attempt, in
         the same places.
         """
-        path = f"{self.root}/{EPOCHS}/{self.name}/{epoch:012d}.json"
+        path = f"{self.root}/{EPOCHS}/{self.name}/{self._identity}/{epoch:012d}.json"
+        plan = None
         if path_exists(self.spark, path):
-            plan = json.loads(read_text(self.spark, path))
-        else:
+            try:
+                plan = json.loads(read_text(self.spark, path))
+            except ValueError:
+                plan = None  # cut off by a crash, so nothing was stored by it yet
+        if plan is None:
             plan = {"ingest_time": utc_now(), "definitions": [d.to_json() for d in self.definitions()]}
             write_text(self.spark, path, json.dumps(plan))
         return plan["ingest_time"], [ItemDefinition.from_json(text) for text in plan["definitions"]]
 
-    def _store(self, definition: ItemDefinition, rows: DataFrame, epoch: int, ingest_time: str) -> str | None:
+    def _load(self, epoch: int) -> str:
+        return stream_load(self.name, self._identity, epoch)
+
+    def _store(self, definition: ItemDefinition, rows: DataFrame, epoch: int) -> str | None:
         path = table_path(self.root, definition.folder, definition.name)
-        if closed_epoch(self.spark, path, self.name) >= epoch:
+        load = self._load(epoch)
+        if is_closed(self.spark, path, load):
             return None
-        load = stream_load(self.name, epoch)
-        try:
-            return self.writer(rows, self.root, definition, load)
-        except Exception as cause:
-            self._record_failure(definition.name, cause, load, ingest_time)
-            raise
-
-    def _record_failure(self, type_name: str, cause: Exception, load: str, ingest_time: str) -> None:
-        """Failed writes are an item type too; the failure itself is raised again."""
-        failure = [(self.instance, type_name, "flush", str(cause)[:2000])]
-        columns = "instanceName string, itemType string, operation string, errorMsg string"
-        rows = self.spark.createDataFrame(failure, columns).select(
-            F.lit(ingest_time).cast("timestamp_ntz").alias(INGEST_TIME), "*"
-        )
-        write_table(rows, self.root, WRITER_ERROR, f"{load}-{type_name}-{time.time_ns()}")
+        return self.writer(rows, self.root, definition, load)
 
     def process(self, bodies: DataFrame, epoch: int) -> None:
         """Ingest one micro-batch: every table, the quarantine and the accounts."""
@@ -93,13 +88,20 @@ class StreamIngest:
             store_result(
                 result,
                 self.root,
-                stream_load(self.name, epoch),
+                self._load(epoch),
                 self.instance,
-                lambda rows, definition: self._store(definition, rows, epoch, ingest_time),
+                lambda rows, definition: self._store(definition, rows, epoch),
             )
         finally:
             result.checked.unpersist()
 
+    def _checkpoint_identity(self, checkpoint: str) -> str:
+        """An id that lives as long as the checkpoint does: epochs of another one are other epochs."""
+        path = f"{checkpoint.rstrip('/')}/telemill-stream-id"
+        if not path_exists(self.spark, path):
+            write_text(self.spark, path, uuid.uuid4().hex)
+        return read_text(self.spark, path).strip()
+
     # --- the query -------------------------------------------------------------
 
     def start(
@@ -110,6 +112,7 @@ class StreamIngest:
         ``every=None`` takes what is there in as many epochs as the source's
         limit asks for, and stops.
         """
+        self._identity = self._checkpoint_identity(checkpoint)
         writer = bodies.writeStream.queryName(self.name).option("checkpointLocation", checkpoint)
         trigger = {"availableNow": True} if every is None else {"processingTime": every}
         return writer.foreachBatch(self.process).trigger(**trigger).start()
@@ -128,7 +131,11 @@ class StreamRotation:
 
     def _state(self, epoch: int) -> dict[str, int]:
         path = f"{self.root}/{epoch:012d}.json"
-        return json.loads(read_text(self.spark, path)) if path_exists(self.spark, path) else {}
+        if epoch < 0:
+            return {}
+        if not path_exists(self.spark, path):
+            raise FileNotFoundError(f"the running segments after epoch {epoch} are not known: {path}")
+        return json.loads(read_text(self.spark, path))
 
     def assign(self, rows: DataFrame, epoch: int, time_col: str = INGEST_TIME, type_col: str = "type_name") -> DataFrame:
         """Add ``segment_start`` and ``segment`` to the rows of one epoch."""

@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import telemill
 from telemill import pack_bodies, split_envelopes, wrap_rows
-from tests.types import bodies
+from tests.types import QUERY_TEST, bodies
 
 
 def split(spark, text):
@@ -127,3 +128,21 @@ def test_carried_columns(spark, text):
     df = bodies(spark, text).withColumn("ingest_time", F.lit("t"))
     assert [r.ingest_time for r in split_envelopes(df).collect()] == ["t", "t"]
     assert split(spark, text)[0] == ITEM
+
+
+def deep(n):
+    return "[" * n + "]" * n
+
+
+def test_odd_values_leave_their_neighbours_alone(spark):
+    good = '{"querytest":{"label":"x","value":1}}'
+    for odd in (f'"extra":{deep(900)}', f'"extra":{"1" * 1200}', f'"extra":"{"y" * (9 << 20)}"'):
+        body = f'[{good},{{"querytest":{{"label":"x","value":2,{odd}}}}}]'
+        result = telemill.ingest_batch(bodies(spark, body), [QUERY_TEST], "2024-06-01 10:00:00")
+        assert sorted(r.value for r in result.accepted("querytest").collect()) == [1, 2]
+
+
+def test_nesting_beyond_the_limit_rejects_the_body(spark):
+    body = f'[{{"querytest":{{"label":"x","value":2,"extra":{deep(1500)}}}}}]'
+    result = telemill.ingest_batch(bodies(spark, body), [QUERY_TEST], "2024-06-01 10:00:00")
+    assert [r.code for r in result.checked.select(F.col("errors")[0]["code"].alias("code")).collect()] == ["invalid_json_array"]

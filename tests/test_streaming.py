@@ -5,6 +5,7 @@ import pytest
 import telemill
 from telemill import Registry, StreamIngest
 from telemill.plans.store import read_quarantine
+from telemill.session import write_text
 from tests.types import ALPHA, BETA, QUERY_TEST
 
 GOOD = {"querytest": {"label": "x", "value": 1}}
@@ -42,6 +43,28 @@ def test_accounts_and_restart(spark, places):
     assert read_quarantine(spark, places["root"]).count() == 5
 
 
+def test_new_checkpoint_is_another_stream(spark, places):
+    values = []
+    for n, checkpoint in enumerate(("one", "two", "three")):
+        drop(places, "a", [{"querytest": {"label": "x", "value": n}}])
+        stream = StreamIngest(spark, places["root"], "s", lambda: [QUERY_TEST])
+        source = telemill.stream_batches(spark, places["in"])
+        stream.start(source, f"{places['checkpoint']}-{checkpoint}", every=None).awaitTermination()
+        if n == 1:
+            telemill.close_segment(spark, places["root"], QUERY_TEST)
+        values.append(n)
+        rows = telemill.scan_table(spark, places["root"], "querytest").collect()
+        assert sorted(r.value for r in rows) == values
+
+
+def test_manifest_cut_off_by_a_crash(spark, places):
+    stream = StreamIngest(spark, places["root"], "s", lambda: [QUERY_TEST])
+    batch = spark.createDataFrame([(json.dumps([GOOD] * 4),)], "body string")
+    write_text(spark, f"{places['root']}/_epochs/s/{'0' * 32}/{0:012d}.json", "")
+    stream.process(batch, 0)
+    assert telemill.scan_table(spark, places["root"], "querytest").count() == 4
+
+
 def test_epoch_repeated_after_its_rows_were_closed(spark, places):
     stream = StreamIngest(spark, places["root"], "s", lambda: [QUERY_TEST])
     batch = spark.createDataFrame([(json.dumps([GOOD] * 4),)], "body string")

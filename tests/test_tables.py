@@ -8,10 +8,12 @@ import telemill
 from telemill import Column, ItemDefinition
 from telemill.plans.store import read_quarantine, store_batch
 from telemill.session import path_exists, read_text, write_text
+from telemill import session
+from telemill.plans import store
 from telemill.sources import sinks
 from telemill.sources.catalog import CatalogError, find_table
 from telemill.sources.sinks import prepare_tables, scan_definition, stream_load
-from telemill.sources.tables import SchemaDriftError, scan_csv, segments_in_period
+from telemill.sources.tables import CsvSegment, SchemaDriftError, scan_csv, segments_in_period
 from tests.types import ALL, ALL_SCALARS, QUERY_TEST, VM_REBOOT, VM_SHUTDOWN, VM_START, bodies
 
 BODY = json.dumps(
@@ -222,8 +224,8 @@ def test_csv_files_from_elsewhere(spark, root):
 
 def test_segment_choice_is_conservative():
     names = [f"2024-06-01_1{h}-00-00.000" for h in range(6)]
-    segments = [(n, n) for n in names]
-    pick = lambda a, b, skew=0.0: [n[11:13] for n, _ in segments_in_period(segments, a, b, skew)]
+    segments = [CsvSegment(n, n) for n in names]
+    pick = lambda a, b, skew=0.0: [s.name[11:13] for s in segments_in_period(segments, a, b, skew)]
     assert pick(None, None) == ["10", "11", "12", "13", "14", "15"]
     assert pick("2024-06-01 12:30:00", "2024-06-01 13:30:00") == ["12", "13"]
     assert pick("2024-06-01 12:00:00", "2024-06-01 12:00:01") == ["11", "12"]
@@ -235,17 +237,100 @@ def test_segment_choice_is_conservative():
 
 def test_close_segment(spark, root):
     store_batch(bodies(spark, BODY), [QUERY_TEST], root, "one", "2024-06-01 10:00:00.500")
-    store_batch(bodies(spark, BODY), [QUERY_TEST], root, stream_load("s", 4), "2024-06-02 10:00:00")
+    store_batch(bodies(spark, BODY), [QUERY_TEST], root, stream_load("s", "a" * 32, 4), "2024-06-02 10:00:00")
     closed = telemill.close_segment(spark, root, QUERY_TEST)
     assert closed.startswith("closed-2024-06-01_10-00-00.500")
     assert telemill.scan_table(spark, root, "querytest").count() == 6
     assert telemill.close_segment(spark, root, QUERY_TEST) is None
-    assert sinks.closed_epoch(spark, f"{root}/querytest/querytest", "s") == 4
+    table = f"{root}/querytest/querytest"
+    assert sinks.is_closed(spark, table, stream_load("s", "a" * 32, 4))
+    assert not sinks.is_closed(spark, table, stream_load("s", "a" * 32, 3))
+    assert not sinks.is_closed(spark, table, stream_load("s", "b" * 32, 4))
     store_batch(bodies(spark, BODY), [QUERY_TEST], root, "three", "2024-06-03 10:00:00")
     assert telemill.close_segment(spark, root, QUERY_TEST).startswith("closed-2024-06-03")
     assert telemill.scan_table(spark, root, "querytest").count() == 9
 
 
+def test_close_leaves_writes_in_progress(spark, root):
+    store_batch(bodies(spark, BODY), [QUERY_TEST], root, "one", "2024-06-01 10:00:00")
+    going_on = f"{root}/querytest/querytest/__load={stream_load('s', 'a' * 32, 1)}/_temporary"
+    write_text(spark, f"{going_on}/part", "half")
+    telemill.close_segment(spark, root, QUERY_TEST)
+    assert path_exists(spark, f"{going_on}/part")
+    assert not sinks.is_closed(spark, f"{root}/querytest/querytest", stream_load("s", "a" * 32, 1))
+    assert telemill.scan_table(spark, root, "querytest").count() == 3
+
+
+def test_closing_that_never_published(spark, root, monkeypatch):
+    store_batch(bodies(spark, BODY), [QUERY_TEST], root, "one", "2024-06-01 10:00:00")
+    remember = sinks._remember_epochs
+    monkeypatch.setattr(sinks, "_remember_epochs", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        telemill.close_segment(spark, root, QUERY_TEST)
+    assert telemill.scan_table(spark, root, "querytest").count() == 3
+    monkeypatch.setattr(sinks, "_remember_epochs", remember)
+    assert telemill.close_segment(spark, root, QUERY_TEST) is not None
+    assert telemill.scan_table(spark, root, "querytest").count() == 3
+
+
+def test_csv_exports_that_overlap(spark, root):
+    items = [{"allscalars": {"_boolean": True, "_string": str(i)}} for i in range(5)]
+    parts = [
+        telemill.ingest_batch(bodies(spark, json.dumps(items)), [ALL_SCALARS], f"2024-06-01 10:{m:02d}:00").accepted("allscalars")
+        for m in (1, 2, 30)
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    prepare_tables(spark, root, [ALL_SCALARS])
+    for load in ("a", "a", "b"):  # the same export again replaces itself
+        telemill.write_csv(rows, root, ALL_SCALARS, load)
+    assert telemill.scan_table(spark, root, "allscalars").count() == 30
+    period = telemill.scan_table(spark, root, "allscalars", "2024-06-01 10:01:30", "2024-06-01 10:05:00")
+    assert period.count() == 10
+
+
+def test_csv_late_rows_and_odd_names(spark, root):
+    prepare_tables(spark, root, [QUERY_TEST])
+    folder = f"{root}/querytest"
+    write_text(spark, f"{folder}/2024-06-01_10-00-00.000_querytest.csv", "2024-06-01 10:00:00.000,a,1,\n2024-06-01 10:05:00.000,late,2,\n")
+    write_text(spark, f"{folder}/2024-06-01_10-01-00.000_querytest.csv", "2024-06-01 10:01:00.000,b,3,\n")
+    write_text(spark, f"{folder}/backup_querytest.csv", "2024-06-01 10:05:30.000,odd,4,\n")
+    period = telemill.scan_table(spark, root, "querytest", "2024-06-01 10:04:00", "2024-06-01 10:06:00")
+    assert labels(period) == ["late", "odd"]
+
+
+def test_reserved_column_names(spark, root):
+    odd = ItemDefinition("odd", (Column("__date", "string"),), "odd")
+    with pytest.raises(ValueError, match="reserved"):
+        prepare_tables(spark, root, [odd])
+
+
+def test_failed_batch_write_is_on_record(spark, root, monkeypatch):
+    real = store.write_table
+
+    def failing(rows, root, definition, load):
+        if definition.name == "querytest":
+            raise OSError("disk full " + "x" * 5000)
+        return real(rows, root, definition, load)
+
+    monkeypatch.setattr(store, "write_table", failing)
+    with pytest.raises(OSError):
+        store_batch(bodies(spark, BODY), [QUERY_TEST], root, "one", "2024-06-01 10:00:00")
+    failure = telemill.scan_table(spark, root, "writer-error").collect()
+    assert [r.itemType for r in failure] == ["querytest"] and len(failure[0].errorMsg) > 5000
+    monkeypatch.setattr(store, "write_table", real)
+    store_batch(bodies(spark, BODY), [QUERY_TEST], root, "one", "2024-06-01 10:00:00")
+    assert [(r.type_name, r.rows_written) for r in store.read_ledger(spark, root).collect()] == [("querytest", 3)]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    monkeypatch.setattr(session, "_context_checkpoint_dir", lambda _: None)
+    with pytest.raises(session.ScratchError):
+        session.scratch_dir(spark, "x")
+    monkeypatch.setattr(session, "_context_checkpoint_dir", lambda _: f"file:{tmp_path}/shared")
+    assert session.scratch_dir(spark, "x").startswith(f"file:{tmp_path}/shared/x-")
+
+
 def test_cut_short_while_closing(spark, root, monkeypatch):
     store_batch(bodies(spark, BODY), [QUERY_TEST], root, "one", "2024-06-01 10:00:00")
     store_batch(bodies(spark, BODY), [QUERY_TEST], root, "two", "2024-06-01 11:00:00")

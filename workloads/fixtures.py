@@ -76,11 +76,6 @@ def with_ingest_time(bodies: DataFrame) -> DataFrame:
     return bodies.withColumn("ingest_time", ingest_time_of(F.col("batch_id")))
 
 
-def _member(name: str, value: Column) -> Column:
-    """``"name":value`` with the value escaped as JSON."""
-    return F.concat(F.lit(f'"{name}":'), F.to_json(F.create_map(F.lit("x"), value)).substr(F.lit(6), F.lit(2**30)))
-
-
 def _text_member(name: str, value: Column) -> Column:
     escaped = F.to_json(F.array(value))
     return F.concat(F.lit(f'"{name}":'), F.substring(escaped, F.lit(2), F.char_length(escaped) - 2))
