@@ -87,7 +87,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segmentation.encode_samples(table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", "rank", F.size("ids").cast("bigint").alias("n_ids"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.xxhash64("ids").alias("ids_hash"),
         "log_prob", "inclusion", "round_trip",
     )
 
