@@ -107,16 +107,17 @@ def removed_lines(
     whole = F.xxhash64("hashes")
     sets = lines.where("size(hashes) > 0").withColumn("whole", whole)
     firsts = stored(sets.groupBy("whole").agg(F.min("doc_id").alias("first")), "line-classes")
-    heads = lines.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    copies = sets.join(firsts, "whole").where("doc_id > first").select("doc_id", "hashes", "words")
+    # None of these tables is bounded, so none is broadcast, however small it may be.
+    heads = lines.join(firsts.select(F.col("first").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    copies = sets.join(firsts.hint("merge"), "whole").where("doc_id > first").select("doc_id", "hashes", "words")
     total = firsts.count()
     places = heads.select("doc_id", F.explode(F.array_distinct("hashes")).alias("line"))
     holders = places.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     rare = holders.where((F.col("n") > 1) & (F.col("n") <= rare_floor + rare_share * total))
-    pairs = places.join(rare.select("line", "first"), "line").where("doc_id > first").select("doc_id", "first").distinct()
+    pairs = places.join(rare.select("line", "first").hint("merge"), "line").where("doc_id > first").select("doc_id", "first").distinct()
     pairs = stored(pairs, "line-pairs")
     earlier = heads.select(F.col("doc_id").alias("first"), F.col("hashes").alias("earlier"))
-    both = pairs.join(earlier, "first").join(heads, "doc_id").select("doc_id", "earlier", "hashes", "words")
+    both = pairs.join(earlier.hint("merge"), "first").join(heads.hint("merge"), "doc_id").select("doc_id", "earlier", "hashes", "words")
     both = both.unionByName(copies.select("doc_id", F.col("hashes").alias("earlier"), "hashes", "words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def dedup_lines(docs: DataFrame, keep: list[str] | None = None, **rules) -> Data
     """
     row = F.struct(*[F.col(c) for c in keep or ["doc_id"]]).alias("kept_row")
     gone = removed_lines(docs.select("doc_id", "text"), **rules)
-    out = docs.select("doc_id", "text", row).join(gone, "doc_id", "left")
+    out = docs.select("doc_id", "text", row).join(gone.hint("merge"), "doc_id", "left")
     has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     out = out.withColumn("lines", F.split("text", "\n"))
     out = out.withColumn("n_lines", F.coalesce(F.size(F.filter("lines", has_word)), F.lit(0)).cast("bigint"))
