@@ -114,7 +114,9 @@ def removed_lines(
     places = heads.select("doc_id", F.explode(F.array_distinct("hashes")).alias("line"))
     holders = places.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     rare = holders.where((F.col("n") > 1) & (F.col("n") <= rare_floor + rare_share * total))
-    pairs = places.join(rare.select("line", "first").hint("merge"), "line").where("doc_id > first").select("doc_id", "first").distinct()
+    # A table of its own: a join with an aggregate in its stage cannot have a busy line's rows split over tasks.
+    rare = stored(rare.select("line", "first"), "rare-lines")
+    pairs = places.join(rare.hint("merge"), "line").where("doc_id > first").select("doc_id", "first").distinct()
     pairs = stored(pairs, "line-pairs")
     earlier = heads.select(F.col("doc_id").alias("first"), F.col("hashes").alias("earlier"))
     both = pairs.join(earlier.hint("merge"), "first").join(heads.hint("merge"), "doc_id").select("doc_id", "earlier", "hashes", "words")
