@@ -36,7 +36,7 @@ def _settings(spark: SparkSession, values: dict[str, str]):
                 spark.conf.set(key, value)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``df`` written as Parquet to the shared scratch folder, and read again.
 
     The copy survives lost executors and ends the lineage. Shuffle files of the
@@ -45,7 +45,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    with _settings(spark, {_CLEANUP: "true", _BATCH: str(BATCH_ROWS)}):
+    with _settings(spark, {_CLEANUP: "true", _BATCH: str(batch_rows)}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MIN_WORDS = 10
 RARE_FLOOR = 20
 RARE_SHARE = 0.1
+ALIGNED_ROWS = 64  # pairs handed to Python at once: each holds the lines of two documents
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -109,7 +110,10 @@ def removed_lines(
     firsts = stored(sets.groupBy("whole").agg(F.min("doc_id").alias("first")), "line-classes")
     # None of these tables is bounded, so none is broadcast, however small it may be.
     heads = lines.join(firsts.select(F.col("first").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    copies = sets.join(firsts.hint("merge"), "whole").where("doc_id > first").select("doc_id", "hashes", "words")
+    # Equal lists of lines align as one block, which is all of them.
+    n_words = F.aggregate("words", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    copies = sets.join(firsts.hint("merge"), "whole").where("doc_id > first").where(n_words >= min_words)
+    copies = copies.select("doc_id", F.sequence(F.lit(0), F.size("hashes") - 1).alias("gone"))
     total = firsts.count()
     places = heads.select("doc_id", F.explode(F.array_distinct("hashes")).alias("line"))
     holders = places.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
@@ -120,7 +124,6 @@ def removed_lines(
     pairs = stored(pairs, "line-pairs")
     earlier = heads.select(F.col("doc_id").alias("first"), F.col("hashes").alias("earlier"))
     both = pairs.join(earlier.hint("merge"), "first").join(heads.hint("merge"), "doc_id").select("doc_id", "earlier", "hashes", "words")
-    both = both.unionByName(copies.select("doc_id", F.col("hashes").alias("earlier"), "hashes", "words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -135,8 +138,9 @@ def removed_lines(
             )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    found = stored(both.mapInArrow(run, f"doc_id {key}, gone array<int>"), "line-blocks").where("size(gone) > 0")
-    return found.select("doc_id", F.explode("gone").alias("line")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    found = stored(both.mapInArrow(run, f"doc_id {key}, gone array<int>"), "line-blocks", ALIGNED_ROWS).where("size(gone) > 0")
+    found = found.select("doc_id", F.explode("gone").alias("line")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    return found.unionByName(copies)
 
 
 def dedup_lines(docs: DataFrame, keep: list[str] | None = None, **rules) -> DataFrame:
