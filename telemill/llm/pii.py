@@ -304,12 +304,12 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFra
     return found.select("doc_id", *[x(k) for k in BASE], added.alias("added"))
 
 
-def span_text(kind: Column | str, spans: Column) -> Column:
-    """``kind:start:end`` of each span."""
+def span_text(kind: str | None, spans: Column) -> Column:
+    """``kind:start:end`` of each span; without ``kind``, spans name their own."""
     return F.transform(
         spans,
         lambda y: F.concat_ws(
-            ":", F.lit(kind) if isinstance(kind, str) else y["kind"], y["start"].cast("string"), y["stop"].cast("string")
+            ":", y["kind"] if kind is None else F.lit(kind), y["start"].cast("string"), y["stop"].cast("string")
         ),
     )
 

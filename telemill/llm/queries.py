@@ -32,12 +32,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = [pii.span_text(k, F.col(k)) for k in pii.BASE]
-    added = pii.span_text(F.col("added"), F.array_sort("added"))
+    # Added spans stand with those of their kind; kinds that have no base spans follow by name.
+    kind = lambda y: y["kind"]
+    bare = lambda y: F.struct(y["start"].alias("start"), y["stop"].alias("stop"))
+    of_kind = lambda k: F.transform(F.filter("added", lambda y: kind(y) == k), bare)
+    every = [pii.span_text(k, F.array_sort(F.concat(F.col(k), of_kind(k)))) for k in pii.BASE]
+    other = F.array_sort(F.filter("added", lambda y: ~kind(y).isin(*pii.BASE)))
     return found.select(
         "doc_id",
         *[F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.BASE],
         F.sha2(F.array_join(F.concat(*base), ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*base, added), ",").alias("spans"),
+        F.array_join(F.concat(*every, pii.span_text(None, other)), ",").alias("spans"),
     )
 
 
