@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,18 +177,21 @@ def _finish_closing(spark: SparkSession, path: str) -> None:
         remove_path(spark, f"{path}/{CLOSING}")
 
 
-def close_segment(spark: SparkSession, root: str, definition: ItemDefinition) -> str | None:
+def close_segment(
+    spark: SparkSession, root: str, definition: ItemDefinition, leave: Collection[str] = ()
+) -> str | None:
     """Rotate: turn everything a type has in open loads into one closed segment.
 
     Rows are ordered by ingest time and spread over as many files as their size
     asks for. A small file says which loads readers skip: the new segment while it is
     written, and, once that file is replaced, the loads in it, which are then removed.
-    Only finished writes are closed. One table is closed by one caller at a time.
+    Only finished writes are closed, and none of the loads named in ``leave``. One table is closed by one caller at a time.
     Returns the name of the closed load, or None if there was nothing to close.
     """
     path = table_path(root, definition.folder, definition.name)
     _finish_closing(spark, path)
-    loads = [load for load in _loads(spark, path) if not load.startswith("closed-") and _is_committed(spark, path, load)]
+    loads = [load for load in _loads(spark, path) if not load.startswith("closed-") and load not in leave]
+    loads = [load for load in loads if _is_committed(spark, path, load)]
     if not loads:
         return None
     entry = TableEntry(definition.name, definition.folder, root, tuple(definition.stored_columns))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +16,15 @@ from pyspark.storagelevel import StorageLevel
 
 from telemill.definitions import INGEST_TIME, ItemDefinition
 from telemill.operators.accounts import ACCOUNT_TYPES
-from telemill.operators.segments import assign_anchored
+from telemill.operators.segments import MINUTE_MS, assign_anchored
 from telemill.plans.ingest import ingest_batch, utc_now
-from telemill.plans.store import store_result
+from telemill.plans.store import PARALLEL_WRITES, store_result
 from telemill.session import configure_session, path_exists, read_text, write_text
-from telemill.sources.sinks import is_closed, prepare_tables, stream_load, write_table
+from telemill.sources.sinks import close_segment, is_closed, prepare_tables, stream_load, write_table
 from telemill.sources.tables import table_path
 
 EPOCHS = "_epochs"
+SEGMENTS = "segments.json"
 
 
 @dataclass
@@ -30,7 +33,10 @@ class StreamIngest:
 
     ``definitions`` is asked once per epoch, so types can come and go while the
     stream runs. ``writer`` stores the rows of one type; it is a field so that a
-    failing store can be tried out.
+    failing store can be tried out; ``clock`` gives an epoch's ingest time, as UTC text.
+
+    With ``rotate``, a type's open loads become a closed segment with the first epoch that is its latency or
+    more after the epoch its segment began with.
     """
 
     spark: SparkSession
@@ -39,6 +45,8 @@ class StreamIngest:
     definitions: Callable[[], list[ItemDefinition]]
     instance: str = "telemill"
     writer: Callable[..., str] = field(default=write_table)
+    rotate: bool = True
+    clock: Callable[[], str] = utc_now
     _prepared: list[ItemDefinition] | None = field(default=None, init=False)
     _identity: str = field(default="0" * 32, init=False)
 
@@ -58,13 +66,41 @@ class StreamIngest:
             except ValueError:
                 plan = None  # cut off by a crash, so nothing was stored by it yet
         if plan is None:
-            plan = {"ingest_time": utc_now(), "definitions": [d.to_json() for d in self.definitions()]}
+            plan = {"ingest_time": self.clock(), "definitions": [d.to_json() for d in self.definitions()]}
             write_text(self.spark, path, json.dumps(plan))
         return plan["ingest_time"], [ItemDefinition.from_json(text) for text in plan["definitions"]]
 
     def _load(self, epoch: int) -> str:
         return stream_load(self.name, self._identity, epoch)
 
+    # --- rotation -------------------------------------------------------------
+
+    def _segments_path(self) -> str:
+        return f"{self.root}/{EPOCHS}/{self.name}/{self._identity}/{SEGMENTS}"
+
+    def _running(self, epoch: int) -> dict[str, int]:
+        """Start of each type's running segment, in milliseconds, as the epoch before left them.
+
+        The file has the starts before and after the last epoch, so a repeated epoch
+        finds what its first attempt found.
+        """
+        if epoch == 0:
+            return {}
+        if not path_exists(self.spark, self._segments_path()):
+            raise FileNotFoundError(f"the running segments before epoch {epoch} are not known: {self._segments_path()}")
+        state = json.loads(read_text(self.spark, self._segments_path()))
+        if epoch not in (state["epoch"], state["epoch"] + 1):
+            raise ValueError(f"running segments are known for epoch {state['epoch']}, not for {epoch}")
+        return state["before" if epoch == state["epoch"] else "after"]
+
+    def _close_old(self, running: dict[str, int], now: int, epoch: int, types: list[ItemDefinition]) -> dict[str, int]:
+        """Close the segments whose latency has passed; returns those that still run."""
+        old = [t for t in types if t.name in running and now >= running[t.name] + t.segment_minutes * MINUTE_MS]
+        with ThreadPoolExecutor(max_workers=PARALLEL_WRITES) as pool:
+            # A repeated epoch may find its own rows stored already: they belong to the next segment.
+            list(pool.map(lambda t: close_segment(self.spark, self.root, t, leave=[self._load(epoch)]), old))
+        return {name: start for name, start in running.items() if name not in {t.name for t in old}}
+
     def _store(self, definition: ItemDefinition, rows: DataFrame, epoch: int) -> str | None:
         path = table_path(self.root, definition.folder, definition.name)
         load = self._load(epoch)
@@ -82,6 +118,15 @@ class StreamIngest:
         if "batch_id" not in bodies.columns:
             number = F.monotonically_increasing_id().cast("string")
             bodies = bodies.withColumn("batch_id", F.concat(F.lit(f"{self.name}-{epoch}-"), number))
+        before = self._running(epoch) if self.rotate else {}
+        now = int(datetime.fromisoformat(ingest_time).replace(tzinfo=timezone.utc).timestamp() * 1000)
+        after = self._close_old(before, now, epoch, [*definitions, *ACCOUNT_TYPES])
+
+        def put(rows: DataFrame, definition: ItemDefinition) -> str | None:
+            path = self._store(definition, rows, epoch)
+            after.setdefault(definition.name, now)
+            return path
+
         result = ingest_batch(bodies.drop("source"), definitions, ingest_time)
         result.checked.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -90,8 +135,11 @@ class StreamIngest:
                 self.root,
                 self._load(epoch),
                 self.instance,
-                lambda rows, definition: self._store(definition, rows, epoch),
+                put,
             )
+            if self.rotate:
+                state = {"epoch": epoch, "before": before, "after": after}
+                write_text(self.spark, self._segments_path(), json.dumps(state))
         finally:
             result.checked.unpersist()
 

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import telemill
 from telemill import Registry, StreamIngest
@@ -88,6 +89,30 @@ def test_repeated_epoch_keeps_time_and_types(spark, places):
     assert len(rows) == 4 and {r.ingest_time for r in rows} == {first}
 
 
+def test_rotation_by_latency(spark, places):
+    times = iter(["2024-06-01 00:00:00.000", "2024-06-01 00:01:59.999", "2024-06-01 00:02:00.000", "2024-06-01 00:04:30.000", "2024-06-01 00:05:00.000"])
+    stream = StreamIngest(spark, places["root"], "s", lambda: [BETA], clock=lambda: next(times))
+    beta = {"beta": {"betaStr": "b", "betaBool": True, "betaReal": 1.5}}
+
+    def loads():
+        rows = telemill.scan_table(spark, places["root"], "beta").select(F.input_file_name().alias("f")).collect()
+        return sorted("closed" if "closed-" in r.f else "open" for r in rows)
+
+    def process(items, epoch):
+        stream.process(spark.createDataFrame([(json.dumps(items),)], "body string"), epoch)
+
+    process([beta], 0)
+    process([beta] * 2, 1)
+    assert loads() == ["open"] * 3
+    for _ in range(2):  # a repeated epoch closes the same loads, and not its own
+        process([beta], 2)
+        assert loads() == ["closed"] * 3 + ["open"]
+    process([], 3)  # no rows of the type, but its latency has passed
+    assert loads() == ["closed"] * 4
+    with pytest.raises(ValueError, match="not for 9"):
+        stream.process(spark.createDataFrame([("[]",)], "body string"), 9)
+
+
 def test_types_come_and_go(spark, places):
     registry = Registry(spark, places["registry"])
     registry.add(ALPHA.to_json())

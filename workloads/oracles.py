@@ -327,6 +327,10 @@ UNION ALL SELECT 'customer-seen', count(*), 3 FROM customer"""),
         last="max(event_id) FROM good WHERE batch_id % 3 = 1",
         undefined="count(*) FROM ev WHERE m NOT IN (9, 10) AND (batch_id % 3 <> 1 OR m = 0)",
     ),
+    "stream_rotated_tables": _events("""
+SELECT CASE WHEN batch_id % 3 = 2 THEN 'open' ELSE 'closed' END AS state, count(*) AS n, min(event_id) AS first,
+       max(event_id) AS last, count(DISTINCT batch_id % 3) AS epochs
+FROM good GROUP BY 1"""),
     "stream_write_failure": _events("""
 SELECT 'order-placed' AS itemType, 'flush' AS operation, CAST(1 AS BIGINT) AS count_
 UNION ALL SELECT 'user-event', 'stored', count(*) FROM good

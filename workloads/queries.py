@@ -547,6 +547,26 @@ def stream_hot_add_remove(spark, sf_dir):
     return measures(stored).unionByName(measures(undefined.agg(F.count("*").alias("undefined"))))
 
 
+@query
+def stream_rotated_tables(spark, sf_dir):
+    """Three epochs of a type that rotates after two minutes: the third closes the segment of the first two."""
+    parts = fx.event_bodies(spark, sf_dir).withColumn("part", F.pmod("batch_id", F.lit(3)))
+    source, root = scratch_dir(spark, "stream-in"), scratch_dir(spark, "stream")
+    checkpoint = scratch_dir(spark, "checkpoint")
+    for part, time in enumerate(("00:00:00.000", "00:01:59.999", "00:02:00.000")):
+        parts.where(F.col("part") == part).select("body").write.mode("append").text(source)
+        stream = telemill.StreamIngest(
+            spark, root, "events", lambda: [fx.USER_EVENT], clock=lambda time=time: f"2024-06-01 {time}"
+        )
+        stream.start(telemill.stream_batches(spark, source), checkpoint, every=None).awaitTermination()
+    rows = telemill.open_table(spark, root, fx.USER_EVENT.name).df.withColumn("file", F.input_file_name())
+    state = F.when(F.col("file").contains("=closed-"), "closed").otherwise("open").alias("state")
+    return rows.groupBy(state).agg(
+        F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"),
+        F.count_distinct("ingest_time").alias("epochs"),
+    )
+
+
 @query
 def stream_write_failure(spark, sf_dir):
     """A store that fails once: the failure is on record, and nothing is lost or doubled."""
