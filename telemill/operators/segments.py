@@ -129,11 +129,16 @@ _NO_ENTRY = -(2**62)
 
 
 def anchored_starts(
-    times: DataFrame, minutes: Mapping[str, int], carry: Mapping[str, int] | None = None
+    times: DataFrame,
+    minutes: Mapping[str, int],
+    carry: Mapping[str, int] | None = None,
+    flat_rows: int = FLAT_CHAIN_ROWS,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Segment starts ``(type_name, start_ms)`` of ``(type_name, ms)`` rows.
 
-    ``carry`` gives the start of a type's running segment, if there is one.
+    ``carry`` gives the start of a type's running segment, if there is one. Beyond ``flat_rows``
+    summary rows blocks are chained as a tree, ``fan_in`` at a time.
 
     The time axis is cut into blocks; each becomes a step function in a task of
     its own. The functions, small as they are, are chained to find where the
@@ -193,7 +198,8 @@ def anchored_starts(
 
     levels = [cut_lineage(located.groupBy("type_no", "node").applyInPandas(summarize, _FUNCTION), "segment-blocks")]
     span = hi - lo + 1
-    fan_in = span if levels[0].count() <= FLAT_CHAIN_ROWS else FAN_IN
+    if levels[0].count() <= flat_rows:
+        fan_in = span
     parent = floor_div(F.col("node"), F.lit(fan_in).cast("bigint"))
     while span > fan_in:
         grouped = levels[-1].groupBy("type_no", parent.alias("parent"))
@@ -222,17 +228,19 @@ def assign_anchored(
     time_col: str = "ingest_time",
     type_col: str | None = None,
     carry: Mapping[str, int] | None = None,
+    **chaining: int,
 ) -> DataFrame:
     """Add ``segment_start`` and ``segment`` (its name) of the anchored chain.
 
     Times count in milliseconds, as ingest times do. A window of one latency
     holds at most one start, so a row's segment started in its own window or in
-    the one before: a lookup by window, no range join.
+    the one before: a lookup by window, no range join. ``chaining`` is for ``anchored_starts``.
     """
     widths = dict(minutes) if isinstance(minutes, Mapping) else {"": minutes}
     type_name = quoted(type_col) if type_col else F.lit("")
     marked = df.withColumn("__type", type_name).withColumn("__ms", to_millis(quoted(time_col)))
-    starts = anchored_starts(marked.select(F.col("__type").alias("type_name"), F.col("__ms").alias("ms")), widths, carry)
+    times = marked.select(F.col("__type").alias("type_name"), F.col("__ms").alias("ms"))
+    starts = anchored_starts(times, widths, carry, **chaining)
     if carry:
         running = df.sparkSession.createDataFrame(
             [(n, s) for n, s in carry.items() if n in widths], "type_name string, start_ms bigint"

@@ -4,7 +4,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from telemill.operators import segments
 from telemill.operators.segments import MINUTE_MS, anchored_starts, assign_aligned, assign_anchored
 from telemill import session as telemill_session
 
@@ -43,11 +42,8 @@ def sample(seed):
 MINUTES = {"sparse": 45, "dense": 1, "every": 7, "gaps": 5, "old": 1440, "one": 60}
 
 
-@pytest.fixture(params=["flat", "tree"])
-def shape(request, monkeypatch):
-    if request.param == "tree":
-        monkeypatch.setattr(segments, "FLAT_CHAIN_ROWS", 0)
-        monkeypatch.setattr(segments, "FAN_IN", 4)
+@pytest.fixture(params=[{}, {"flat_rows": 0, "fan_in": 4}], ids=["flat", "tree"])
+def shape(request):
     return request.param
 
 
@@ -60,7 +56,7 @@ def found(df):
 
 def test_anchored_starts_match_the_plain_chain(spark, shape):
     times = sample(1)
-    starts = found(anchored_starts(frame(spark, times).select("type_name", "ms"), MINUTES))
+    starts = found(anchored_starts(frame(spark, times).select("type_name", "ms"), MINUTES, **shape))
     assert starts == {k: chain(set(ts), MINUTES[k] * MINUTE_MS) for k, ts in times.items()}
 
 
@@ -68,7 +64,7 @@ def test_carried_segment(spark, shape):
     times = sample(2)
     carry = {k: min(ts) - 1000 for k, ts in times.items() if k != "sparse"}
     carry["every"] = min(times["every"]) + 500_000
-    starts = found(anchored_starts(frame(spark, times).select("type_name", "ms"), MINUTES, carry))
+    starts = found(anchored_starts(frame(spark, times).select("type_name", "ms"), MINUTES, carry, **shape))
     expected = {}
     for k, ts in times.items():
         width = MINUTES[k] * MINUTE_MS

@@ -86,6 +86,17 @@ starts AS (
 ),
 spans AS (SELECT event_type, start, lead(start) OVER (PARTITION BY event_type ORDER BY start) AS stop FROM starts)"""
 
+_CHAIN = """
+WITH RECURSIVE e AS (SELECT event_id, date_trunc('millisecond', ts) AS t FROM events),
+starts AS (
+  SELECT min(t) AS start FROM e
+  UNION ALL
+  SELECT t2 FROM (SELECT min(e.t) AS t2 FROM starts s JOIN e ON e.t >= s.start + INTERVAL 120 MINUTES) WHERE t2 IS NOT NULL
+),
+spans AS (SELECT start, lead(start) OVER (ORDER BY start) AS stop FROM starts)
+SELECT event_id, start AS segment_start, strftime(start, '%Y-%m-%d_%H-%M-%S.%g') AS segment
+FROM e JOIN spans ON t >= start AND (stop IS NULL OR t < stop)"""
+
 _CHAIN_COUNTS = f"""WITH RECURSIVE {_CHAINS.strip()}
 SELECT e.event_type, s.start AS segment_start, count(*) AS n
 FROM e JOIN spans s ON e.event_type = s.event_type AND e.t >= s.start AND (s.stop IS NULL OR e.t < s.stop)
@@ -245,16 +256,8 @@ WHERE ingest_time >= TIMESTAMP '2024-06-01 00:02:10' AND ingest_time < TIMESTAMP
 SELECT event_id, event_type,
        strftime(min(ts) OVER (PARTITION BY event_type, epoch_ms(ts) // (minutes * 60000)), '%Y-%m-%d_%H-%M-%S.%g') AS segment
 FROM events JOIN {_MINUTES} USING (event_type)""",
-    "segments_anchored": """
-WITH RECURSIVE e AS (SELECT event_id, date_trunc('millisecond', ts) AS t FROM events),
-starts AS (
-  SELECT min(t) AS start FROM e
-  UNION ALL
-  SELECT t2 FROM (SELECT min(e.t) AS t2 FROM starts s JOIN e ON e.t >= s.start + INTERVAL 120 MINUTES) WHERE t2 IS NOT NULL
-),
-spans AS (SELECT start, lead(start) OVER (ORDER BY start) AS stop FROM starts)
-SELECT event_id, start AS segment_start, strftime(start, '%Y-%m-%d_%H-%M-%S.%g') AS segment
-FROM e JOIN spans ON t >= start AND (stop IS NULL OR t < stop)""",
+    "segments_anchored": _CHAIN,
+    "segments_anchored_tree": _CHAIN,
     "segments_anchored_by_type": _CHAIN_COUNTS,
     "stream_rotation": _CHAIN_COUNTS,
     "close_segment": _events("SELECT ingest_time, event_id, value, dur FROM good"),

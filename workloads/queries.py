@@ -399,6 +399,14 @@ def segments_anchored(spark, sf_dir):
     return assigned.select("event_id", "segment_start", "segment")
 
 
+@query
+def segments_anchored_tree(spark, sf_dir):
+    """The same, with block summaries chained as a tree, as for tables of very many blocks."""
+    events = fx.table(spark, sf_dir, "events").select("event_id", "ts")
+    assigned = assign_anchored(events, 120, "ts", flat_rows=0, fan_in=4)
+    return assigned.select("event_id", "segment_start", "segment")
+
+
 @query
 def segments_anchored_by_type(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
