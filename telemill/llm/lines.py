@@ -109,8 +109,9 @@ def windows(hashes: np.ndarray, words: np.ndarray, cuts: np.ndarray, min_words:
     on, upto = stop <= cuts[owner + 1], start >= cuts[owner]
     runs = np.unique(np.concatenate([line[on] * (n + 1) + stop[on], start[upto] * (n + 1) + line[upto] + 1]))
     start, stop = np.divmod(runs, n + 1)
-    powers = np.multiply.accumulate(np.concatenate([[1], np.full(n, _FACTOR)]).astype(np.uint64))
-    back = np.multiply.accumulate(np.concatenate([[1], np.full(n, pow(_FACTOR, -1, 1 << 64))]).astype(np.uint64))
+    powers, back = (
+        np.multiply.accumulate(np.array([1] + [f] * n, np.uint64)) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))
+    )
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * powers[:-1], dtype=np.uint64)])
     key = (sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)
     key = (key ^ (key >> np.uint64(32))) * np.uint64(_FACTOR)

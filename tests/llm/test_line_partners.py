@@ -25,6 +25,16 @@ def removed(spark, texts):
     return [found.get(i, set()) for i in range(len(texts))]
 
 
+def test_runs_have_the_same_key_wherever_they_stand():
+    rng = np.random.default_rng(5)
+    hashes, words = rng.integers(-(1 << 63), 1 << 63, 30), rng.integers(1, 12, 30)
+    keys = {}
+    cuts = np.arange(0, 30 * 20 + 1, 30)
+    for row, start, stop, key in zip(*lines.windows(np.tile(hashes, 20), np.tile(words, 20), cuts, 10)):
+        keys.setdefault((start, stop), set()).add(key)
+    assert all(len(k) == 1 for k in keys.values()) and len(set.union(*keys.values())) == len(keys) > 30
+
+
 def test_blocks_that_only_later_holders_share(spark):
     one, two, long = "a b c d e f", "g h i j k l", " ".join(f"z{i}" for i in range(12))
     texts = [f"{one}\nalone in first", f"{two}\nalone in second", f"x third\n{one}\n{two}\ny", f"u\nv fourth\n{one}\n{two}"]
@@ -39,3 +49,9 @@ def test_random_blocks_equal_brute_force(spark):
     pool = [" ".join(f"p{k}" for _ in range(rng.integers(1, 12))) for k in range(25)]
     texts = ["\n".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(2, 12))) for _ in range(150)]
     assert removed(spark, texts) == plain(texts)
+
+
+def test_passage_that_a_third_of_all_documents_share(spark):
+    passage = " ".join(f"s{i}" for i in range(14))
+    texts = [f"own {d}\n{passage}\nend {d}" if d % 3 == 0 else f"own {d}\nelse {d}" for d in range(600)]
+    assert removed(spark, texts) == [{1} if d % 3 == 0 and d else set() for d in range(600)]
