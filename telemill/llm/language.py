@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.llm.common import pieces, text_bytes
@@ -17,14 +17,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STEPS = 48  # bytes in a window
 HIDDEN = 8
-SAMPLE_DOCS = 500  # documents of each language to learn from, about
+SAMPLE_DOCS = 500  # different texts of each language to learn from
 SAMPLE_CHARS = 400  # characters of each
-MAX_LANGUAGES = 200
 EPOCHS = 300
+MANY = 200  # with more languages there are more epochs, so that each is shown as often
 BATCH = 96
 RATE = 0.02
 FOLDS = 5
-SLAB = 4096  # windows worked on at once
+SLAB = 4096  # windows worked on at once, of up to 32 languages
 UNKNOWN = "und"
 
 
@@ -128,6 +128,8 @@ def windows_of(text: bytes, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]
 def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> tuple[list[str], dict[str, np.ndarray]]:
     """Languages and weights learned from ``(lang, text)`` rows by backpropagation through time, with Adam."""
     languages = sorted({lang for lang, _ in samples})
+    number = {lang: i for i, lang in enumerate(languages)}
+    epochs = epochs * max(len(languages), MANY) // MANY
     rng = np.random.default_rng(seed)
     k, h = len(languages), HIDDEN
     weights = {
@@ -144,7 +146,7 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -
     for lang, text in samples:
         windows, _ = windows_of(text.encode())
         parts.append(windows)
-        owners += [languages.index(lang)] * len(windows)
+        owners += [number[lang]] * len(windows)
     data, label = np.concatenate(parts), np.array(owners)
     groups = [np.flatnonzero(label == i) for i in range(k)]
     mean = {n: np.zeros_like(w) for n, w in weights.items()}
@@ -170,6 +172,7 @@ def predict(weights: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     total = np.zeros((len(texts), len(weights["b"])))
     queue: list[tuple[int, np.ndarray, np.ndarray]] = []
     waiting = 0
+    slab = max(1, SLAB * 32 // max(32, len(weights["b"])))
 
     def flush() -> None:
         windows = np.concatenate([w for _, w, _ in queue])
@@ -181,10 +184,10 @@ def predict(weights: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
 
     for i, text in enumerate(texts):
         windows, counts = windows_of(text)
-        for start in range(0, len(windows), SLAB):
-            queue.append((i, windows[start : start + SLAB], counts[start : start + SLAB]))
+        for start in range(0, len(windows), slab):
+            queue.append((i, windows[start : start + slab], counts[start : start + slab]))
             waiting += len(queue[-1][1])
-            if waiting >= SLAB:
+            if waiting >= slab:
                 flush()
                 queue, waiting = [], 0
     if queue:
@@ -198,26 +201,22 @@ def held_out(doc_id) -> "F.Column":
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """A bounded sample ``(lang, text)``: a stretch of about ``per_language`` documents of each language.
+    """A sample ``(lang, text)``: a stretch of up to ``per_language`` different texts of each language there is.
 
-    Documents and stretches are picked by a hash of the text, alike in every run. Of more than
-    ``MAX_LANGUAGES`` languages the most frequent are learned.
+    Those with the smallest hashes are picked, and stretches by the hash too, alike in every run. However
+    often a text is repeated, it counts once.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     usable = usable.where("doc_id IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("pick"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return []
-    share = F.lit(0.0)
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["count"])).otherwise(share)
+    order = Window.partitionBy("lang").orderBy("pick")
+    # Each task hands on its smallest picks only, so a language of very many texts is no burden to one of them.
+    picked = usable.select("lang", "pick").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     start = F.pmod(F.col("pick"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     rows = (
-        usable.where(F.col("pick") < share * float(1 << 40))
+        usable.join(picked.drop("n"), ["lang", "pick"], "left_semi")
         .select("lang", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"), "pick")
-        .distinct()  # many copies of a text teach no more than one
+        .distinct()
         .orderBy("pick", "lang", "part")
-        .limit(2 * per_language * len(sizes))
         .collect()
     )
     return [(r["lang"], r["part"]) for r in rows]
@@ -226,7 +225,7 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tu
 def identify(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` per row.
 
-    The network is learned from a bounded sample of labelled rows outside the held-out fold and
+    The network is learned from a sample of all languages among the labelled rows outside the held-out fold and
     then labels every byte of every whole text; the means of the labels' probabilities decide. A text that is null or
     holds no letter is ``und`` with score 0, as are all if there is no labelled row. Rows are judged
     one by one: repeated rows have equal results. ``lang`` and all other columns play no part in a prediction.

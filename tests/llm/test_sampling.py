@@ -1,8 +1,8 @@
-"""Samples that must not depend on the layout or on copies."""
+"""Samples that must not depend on the layout or on copies: segmentations, and texts to learn languages from."""
 
 from pyspark.sql import functions as F
 
-from telemill.llm import segmentation
+from telemill.llm import language, segmentation
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +22,20 @@ def test_segmentations_depend_on_the_row_alone(spark):
     for row in alone:
         found = rows(spark.createDataFrame([row], docs.schema))
         assert found == {r for r in want if r[0] == str(row.doc_id)}
+
+
+def test_copies_do_not_thin_out_what_is_learned(spark):
+    docs = spark.range(30000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text number "), (F.col("id") % 60).cast("string")).alias("text"), F.lit("xx").alias("lang")
+    )
+    assert len(language.training_sample(docs)) == 60
+    few = docs.withColumn("text", F.concat("text", F.lit(" "), F.col("doc_id").cast("string")))
+    assert len(language.training_sample(few)) == language.SAMPLE_DOCS
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"),
+        F.concat(F.lit("l"), (F.col("id") % 250).cast("string")).alias("lang"),
+    )
+    assert len({lang for lang, _ in language.training_sample(docs)}) == 250
