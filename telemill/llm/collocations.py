@@ -31,7 +31,9 @@ ABSORBED = 100  # per cent of a phrase's occurrences that a longer one must take
 TOP = 2000
 COUNTED_WORDS = 500_000  # different words a task counts before it sends its counts on
 KNOWN_WORDS = 500_000  # words that are broadcast with their numbers, about 30 bytes each
-FLUSH = 200_000  # positions handed on at once
+FLUSH = 200_000  # words to a row of codes
+PAIRS_AT_ONCE = 2_000_000  # pairs of words counted before they are sent on
+FILTER_BITS = 1 << 26  # of the bitmap of frequent pairs, 8 MB
 
 _LOWER = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10
@@ -79,48 +81,108 @@ def code_of(lang: str, word: bytes) -> int:
     return -1 - (xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word) >> 1)
 
 
-def edges(docs: DataFrame, known: dict[str, dict[bytes, int]], complete: bool, longest: int) -> DataFrame:
-    """``(w1 ... wn, f)``: for each position the longest run of up to ``longest`` words, 0 behind a shorter one.
+def coded(docs: DataFrame, known: dict[str, dict[bytes, int]], complete: bool) -> DataFrame:
+    """``(codes)``: all texts as words' numbers, many texts to a row, with 0 between pieces.
 
-    Words go by their numbers. If ``complete``, all other words are too rare for any phrase and end a piece;
-    else they go by their hashes.
+    If ``complete``, words without a number are too rare for any phrase and end a piece; else they go by their hashes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    names = [f"w{i}" for i in range(1, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, held, size = shared.value, [], 0
+        tables, held = shared.value, []
 
-        def rows() -> pa.RecordBatch:
-            flat = np.concatenate([*held, np.zeros(longest, np.int64)])
-            starts = np.flatnonzero((flat[:-1] != 0) & (flat[1:] != 0))  # single words are counted already
-            columns, open_ = [], np.ones(len(starts), bool)
-            for i in range(longest):
-                word = flat[starts + i]
-                open_ &= word != 0
-                columns.append(pa.array(np.where(open_, word, 0)))
-            return pa.RecordBatch.from_arrays(columns, names)
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([np.array(held, np.int64)], pa.list_(pa.int64()))], ["codes"])
 
         for batch in pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 own = tables.get(lang, {})
                 words = tokens(text)
                 if complete:
-                    codes = [own.get(w, 0) for w in words if w]
+                    held += [own.get(w, 0) for w in words if w]
                 else:
-                    codes = [own.get(w) or (0 if w == b"\n" else code_of(lang, w)) for w in words if w]
-                held.append(np.array([*codes, 0], np.int64))
-                size += len(codes) + 1
-                if size > FLUSH:
+                    held += [own.get(w) or (0 if w == b"\n" else code_of(lang, w)) for w in words if w]
+                held.append(0)
+                if len(held) > FLUSH:
+                    yield row()
+                    held.clear()
+        yield row()
+
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "codes array<bigint>")
+
+
+def _flat(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for codes in batch.column(0):
+        yield np.concatenate([codes.values.to_numpy(), np.zeros(1, np.int64)])
+
+
+def pair_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next one."""
+    x = codes[:-1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[1:].view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def frequent_pairs(codes: DataFrame, min_count: int) -> np.ndarray:
+    """A bitmap of fixed size, in bytes, with a bit for the hash of every pair of words that is frequent enough for a phrase.
+
+    Other pairs may share a bit; they cost work, but change no count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(counts)], ["pair", "f"])
+
+        for batch in batches:
+            for flat in _flat(batch):
+                held.append(pair_hashes(flat)[(flat[:-1] != 0) & (flat[1:] != 0)])
+                size += len(held[-1])
+                if size > PAIRS_AT_ONCE:
                     yield rows()
                     held.clear()
                     size = 0
         if held:
             yield rows()
 
-    found = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
-        run, ", ".join(f"{n} bigint" for n in names)
+    pairs = codes.mapInArrow(run, "pair bigint, f bigint").groupBy("pair").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    place = pairs.select((F.pmod("pair", F.lit(FILTER_BITS)) + 1).alias("place"))  # bits are numbered from 1
+    parts = place.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
     )
+    found = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in stored(parts, "phrase-filter", batch_rows=1).collect():  # no more than FILTER_BITS all together
+        start = (row.bucket - 1) * len(row.bits)
+        found[start : start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return found
+
+
+def edges(codes: DataFrame, pairs: np.ndarray, longest: int) -> DataFrame:
+    """``(w1 ... wn, f)``: for each position the longest run of up to ``longest`` words, 0 behind a shorter one.
+
+    A run ends with its piece, or where the next pair of words is too rare for any phrase.
+    """
+    shared = codes.sparkSession.sparkContext.broadcast(pairs)
+    names = [f"w{i}" for i in range(1, longest + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for flat in _flat(batch):
+                place = pair_hashes(flat).view(np.int64) % FILTER_BITS
+                joined = (flat[:-1] != 0) & (flat[1:] != 0) & (bits[place >> 3] >> (place & 7) & 1 == 1)
+                joined = np.concatenate([joined, np.zeros(longest, bool)])
+                flat = np.concatenate([flat, np.zeros(longest, np.int64)])
+                starts = np.flatnonzero(joined)  # single words are counted already
+                columns, open_ = [pa.array(flat[starts])], np.ones(len(starts), bool)
+                for i in range(1, longest):
+                    open_ &= joined[starts + i - 1]
+                    columns.append(pa.array(np.where(open_, flat[starts + i], 0)))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    found = codes.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
     return found.groupBy(*names).agg(F.count("*").alias("f"))
 
 
@@ -132,7 +194,10 @@ def phrase_counts(docs: DataFrame, frequent: DataFrame, complete: bool, longest:
         for lang, word, number in zip(*(c.to_pylist() for c in batch.columns)):
             known.setdefault(lang, {})[word.encode()] = number
     # One level at a time: the flow out of the nodes of a level is summed up from the level above, which then goes.
-    level, found = stored(edges(docs, known, complete, longest), "phrase-edges"), None
+    codes = stored(coded(docs, known, complete), "phrase-codes")
+    pairs = frequent_pairs(codes, min_count)
+    level, found = stored(edges(codes, pairs, longest), "phrase-edges", batch_rows=1), None
+    _drop(spark, codes)
     for size in range(longest, 1, -1):
         names = [f"w{i}" for i in range(1, size + 1)]
         often = level.where(f"f >= {min_count} AND w{size} <> 0").select(F.array(*names).alias("p"), "f")
@@ -170,14 +235,14 @@ def collocations(
     score, then ``a``, both descending, then the phrase in the order of its bytes. Repeated rows count as often as they occur; other
     columns are ignored; an empty table has no phrases.
 
-    Counts are exact at any size. A phrase holds no word that is rarer than itself, so words below ``min_count``
-    end pieces. The others are numbered, and up to ``known_words`` of them, the most frequent, are broadcast with
+    Counts are exact at any size. A phrase holds no word and no pair of words that is rarer than itself, so words and pairs below
+    ``min_count`` end pieces (pairs by a bitmap of fixed size, which may let rare ones pass, but no frequent one end). Words are numbered, and up to ``known_words`` of them, the most frequent, are broadcast with
     their numbers; if there are more, all other words travel as 63-bit hashes.
     """
     rows = docs.select("lang", "text")
     words = stored(word_counts(rows), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = words.where(F.col("f") >= min_count)
+    often = stored(words.where(F.col("f") >= min_count), "phrase-often")
     complete = often.count() <= known_words
     least = min_count
     if not complete:
@@ -186,7 +251,8 @@ def collocations(
         so_far = Window.orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         fit = sizes.withColumn("all", F.sum("words").over(so_far)).where(F.col("all") <= known_words)
         least = fit.agg(F.min("f")).first()[0] or (1 << 62)
-    numbered = often.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id() + 1)
+    # In one task, for small numbers: no more rows than may be broadcast.
+    numbered = often.where(F.col("f") >= least).coalesce(1).withColumn("id", F.monotonically_increasing_id() + 1)
     frequent = stored(numbered, "phrase-vocabulary")
     phrases = phrase_counts(rows, frequent, complete, longest, min_count)
 
