@@ -8,7 +8,7 @@ from telemill.plans.store import store_batch
 from telemill.session import clear_scratch, configure_session
 from telemill.sources.batches import read_batches, stream_batches
 from telemill.sources.catalog import discover_catalog, discover_catalog_lenient, list_tables
-from telemill.sources.sinks import close_segment, prepare_tables, write_csv, write_table
+from telemill.sources.sinks import clean_table, close_segment, prepare_tables, write_csv, write_loads, write_table
 from telemill.sources.tables import scan_roots, scan_table
 from telemill.streaming.ingest import StreamIngest, StreamRotation
 from telemill.streaming.registry import Registry, load_definitions
@@ -22,6 +22,7 @@ __all__ = [
     "StreamRotation",
     "Table",
     "clear_scratch",
+    "clean_table",
     "close_segment",
     "configure_session",
     "discover_catalog",
@@ -41,5 +42,6 @@ __all__ = [
     "stream_batches",
     "wrap_rows",
     "write_csv",
+    "write_loads",
     "write_table",
 ]

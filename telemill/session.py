@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, VariantType
@@ -137,6 +139,14 @@ def join_lookup(big: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame
 # through the file system of whatever URI the table root has.
 
 
+_GLOB = re.compile(r"([{}\[\]*?\\])")
+
+
+def readable(path: str) -> str:
+    """A path that means itself, also where it has characters of a pattern."""
+    return _GLOB.sub(r"\\\1", path)
+
+
 def _path(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
@@ -188,6 +198,60 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         context.rename(fs.makeQualified(target), fs.makeQualified(p), options)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file if there is none yet; of several callers at once one gets True. It appears whole.
+
+    Stores with whole puts check as the file is closed (S3 by a conditional put); a local file gets its name by a hard
+    link, others by a rename that replaces nothing.
+    """
+    fs, p = _path(spark, path)
+    hadoop, scheme = spark._jvm.org.apache.hadoop.fs, fs.getUri().getScheme()
+    fs.mkdirs(p.getParent())
+    whole = scheme in _WHOLE_PUTS
+    target = p if whole else hadoop.Path(p.getParent(), f"_{p.getName()}.{uuid.uuid4().hex}")
+    try:
+        builder = fs.createFile(target).overwrite(False)
+        out = builder.opt("fs.option.create.conditional.overwrite", True).build()
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+        if scheme == "file":
+            local = lambda x: spark._jvm.java.io.File(x.toUri().getPath()).toPath()
+            spark._jvm.java.nio.file.Files.createLink(local(p), local(target))
+        elif not whole:
+            nothing = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+            context.rename(fs.makeQualified(target), fs.makeQualified(p), nothing)
+    except Py4JJavaError as cause:
+        if "AlreadyExists" in str(cause.java_exception) or whole and fs.exists(p):
+            return False
+        raise
+    finally:
+        if not whole:
+            fs.delete(target, False)
+    return True
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, p = _path(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files below a folder, by their path from there, and their sizes; hidden ones are left out."""
+    fs, p = _path(spark, path)
+    found, base = [], len(fs.makeQualified(p).toUri().getPath().rstrip("/")) + 1
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        status = files.next()
+        name = status.getPath().toUri().getPath()[base:]
+        if not any(part[0] in "_." and "=" not in part for part in name.split("/")):
+            found.append((name, status.getLen()))
+    return sorted(found)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _path(spark, path)
     stream = fs.open(p)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.operators.lint import read_sidecars
-from telemill.session import configure_session, glob_exists, path_exists
+from telemill.session import configure_session, glob_exists, path_exists, readable
 
 # Object stores, by URI scheme; everything else is a file system.
 _BLOB_SCHEMES = r"\A(?:abfss?|wasbs?|s3[an]?|gs)://"
@@ -22,7 +22,7 @@ class CatalogError(ValueError):
 def _sidecar_files(spark: SparkSession, root: str) -> DataFrame:
     if not path_exists(spark, root):
         raise CatalogError(f"cannot read {root}")
-    pattern = f"{root.rstrip('/')}/*/*.json"
+    pattern = f"{readable(root.rstrip('/'))}/*/*.json"
     if not glob_exists(spark, pattern):
         return spark.createDataFrame([], _RAW)
     path = F.col("_metadata.file_path")

@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from collections.abc import Collection, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.definitions import INGEST_TIME, ItemDefinition, kind_of
 from telemill.functions.checks import value_to_text
 from telemill.operators.lint import OK, detect_schema_drift, read_sidecars
 from telemill.operators.segments import aligned_window, assign_aligned, segment_name
-from telemill.session import (
-    _path,
-    path_exists,
-    quoted,
-    read_text,
-    remove_path,
-    write_text,
-)
+from telemill.session import path_exists, quoted, read_text, remove_path, write_text
+from telemill.sources import snapshots
 from telemill.sources.catalog import TableEntry
 from telemill.sources.tables import (
-    CLOSING,
     CSV_OPTIONS,
     DATE,
     LOAD,
@@ -32,13 +24,11 @@ from telemill.sources.tables import (
     UNTIL,
     SchemaDriftError,
     csv_path,
-    hidden_loads,
     scan_parquet,
     sidecar_path,
     table_path,
 )
 
-CLOSED = "_closed.json"
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 
 
@@ -77,19 +67,47 @@ def _check_names(names: Iterable[str]) -> None:
 
 
 def write_table(rows: DataFrame, root: str, definition: ItemDefinition, load: str, rebalance: bool = False) -> str:
-    """Store typed rows of one type under a load of their own.
+    """Store typed rows of one type under a load of their own; returns the folder.
 
     Writing the same load again replaces it, so a repeated run adds nothing
-    twice. Rows are written where they are, without a shuffle; ``rebalance``
-    trades one for evenly sized files (a large day is split, small ones joined).
+    twice: the new rows go to another folder, and one entry of the table's log puts them in place of the old.
+    Rows are written where they are, without a shuffle, and the first and last
+    ingest time are noted as they pass; ``rebalance`` trades a shuffle for evenly sized files (a large day is split, small ones joined).
     """
     _check_names(rows.columns)
-    path = f"{table_path(root, definition.folder, definition.name)}/{LOAD}={load}"
-    dated = rows.withColumn(DATE, F.to_date(INGEST_TIME))
+    spark, path = rows.sparkSession, table_path(root, definition.folder, definition.name)
+    snapshots.begin(spark, path, f"{LOAD}=")
+    folder = f"{LOAD}={load}"
+    if path_exists(spark, f"{path}/{folder}"):
+        folder += f"~{uuid.uuid4().hex[:8]}"
+    seen = Observation()
+    zone = [F.min(INGEST_TIME).cast("string").alias("first"), F.max(INGEST_TIME).cast("string").alias("last")]
+    dated = rows.withColumn(DATE, F.to_date(INGEST_TIME)).observe(seen, *zone)
     if rebalance:
         dated = dated.hint("rebalance", F.col(DATE))
-    dated.write.mode("overwrite").partitionBy(DATE).parquet(path)
-    return path
+    dated.write.mode("overwrite").partitionBy(DATE).parquet(f"{path}/{folder}")
+    files = snapshots.folder_files(spark, path, folder, (seen.get["first"], seen.get["last"]))
+    snapshots.commit_loads(spark, path, {load: {"folder": folder, "files": files}})
+    return f"{path}/{folder}"
+
+
+def write_loads(rows: DataFrame, root: str, definition: ItemDefinition, load: Column) -> list[str]:
+    """Store rows as many loads at once, by the load that ``load`` gives each; returns their names.
+
+    For history that is brought in as a whole: one job, and one entry in the table's log, after which all of
+    them are there. Each load becomes few files, and a large one is split.
+    """
+    _check_names(rows.columns)
+    spark, path = rows.sparkSession, table_path(root, definition.folder, definition.name)
+    snapshots.begin(spark, path, f"{LOAD}=")
+    folder = f"{LOAD}=many-{uuid.uuid4().hex}"
+    placed = rows.withColumn(DATE, F.to_date(INGEST_TIME)).withColumn(LOAD, load.cast("string"))
+    placed.hint("rebalance", F.col(LOAD)).write.partitionBy(LOAD, DATE).parquet(f"{path}/{folder}")
+    files = snapshots.measured_files(spark, path, folder, LOAD)
+    loads = {name: {"folder": own[0][0].rsplit("/", 2)[0], "files": own} for name, own in files.items()}
+    if loads:
+        snapshots.commit_loads(spark, path, loads)
+    return sorted(loads)
 
 
 def to_csv_cells(rows: DataFrame) -> DataFrame:
@@ -135,91 +153,74 @@ def stream_load(stream: str, identity: str, epoch: int) -> str:
 
 
 _STREAM_LOAD = re.compile(r"\A(stream-.*-[0-9a-f]{32})-([0-9]{12})\Z", re.DOTALL)
-# A stream repeats at most the epoch it had not committed, so old ones need not be remembered for ever.
-REMEMBERED_EPOCHS = 1000
-
-
-def _closed_epochs(spark: SparkSession, path: str) -> dict[str, list[int]]:
-    return json.loads(read_text(spark, f"{path}/{CLOSED}")) if path_exists(spark, f"{path}/{CLOSED}") else {}
 
 
 def is_closed(spark: SparkSession, path: str, load: str) -> bool:
     """Whether the rows of a stream's load are in a closed segment already."""
-    found = _STREAM_LOAD.match(load)
-    return found is not None and int(found[2]) in _closed_epochs(spark, path).get(found[1], [])
+    found, state = _STREAM_LOAD.match(load), snapshots.snapshot(spark, path)
+    return found is not None and state is not None and int(found[2]) in state["epochs"].get(found[1], [])
 
 
-def _remember_epochs(spark: SparkSession, path: str, loads: list[str]) -> None:
+def _epochs(loads: Iterable[str]) -> dict[str, list[int]]:
     # An epoch whose rows were closed before the stream could commit it is
     # repeated after a restart; it must not be stored a second time.
-    known = _closed_epochs(spark, path)
+    epochs: dict[str, list[int]] = {}
     for found in filter(None, map(_STREAM_LOAD.match, loads)):
-        epochs = {*known.get(found[1], []), int(found[2])}
-        known[found[1]] = sorted(epochs)[-REMEMBERED_EPOCHS:]
-    write_text(spark, f"{path}/{CLOSED}", json.dumps(known))
-
-
-def _is_committed(spark: SparkSession, path: str, load: str) -> bool:
-    """The marker is the last thing a write leaves; without it the write is in progress, or failed."""
-    return path_exists(spark, f"{path}/{LOAD}={load}/_SUCCESS")
-
-
-def _loads(spark: SparkSession, path: str) -> list[str]:
-    fs, p = _path(spark, f"{path}/{LOAD}=*")
-    return sorted(s.getPath().getName().split("=", 1)[1] for s in fs.globStatus(p) or [])
-
-
-def _finish_closing(spark: SparkSession, path: str) -> None:
-    """Tidy up after a compaction; also after one that was cut short, published or not."""
-    for load in hidden_loads(spark, path):
-        remove_path(spark, f"{path}/{LOAD}={load}")
-    if path_exists(spark, f"{path}/{CLOSING}"):
-        remove_path(spark, f"{path}/{CLOSING}")
+        epochs.setdefault(found[1], []).append(int(found[2]))
+    return epochs
 
 
 def close_segment(
-    spark: SparkSession, root: str, definition: ItemDefinition, leave: Collection[str] = ()
+    spark: SparkSession,
+    root: str,
+    definition: ItemDefinition,
+    leave: Collection[str] = (),
+    keep_seconds: float = snapshots.KEEP_SECONDS,
 ) -> str | None:
     """Rotate: turn everything a type has in open loads into one closed segment.
 
-    Rows are ordered by ingest time and spread over as many files as their size
-    asks for. A small file says which loads readers skip: the new segment while it is
-    written, and, once that file is replaced, the loads in it, which are then removed.
-    Only finished writes are closed, and none of the loads named in ``leave``. One table is closed by one caller at a time.
-    Returns the name of the closed load, or None if there was nothing to close.
+    Rows are ordered by ingest time and spread over as many files as their size asks for. One entry of the
+    table's log puts the segment in the place of the loads: whoever reads a snapshot sees either these or that. Loads named in ``leave``
+    stay open. If two close a table at once, the one whose entry comes first wins, and the other one's segment is discarded. Replaced loads
+    are removed ``keep_seconds`` later, by the next closing or ``clean_table``. Returns the name of the
+    closed load, or None if there was nothing to close.
     """
     path = table_path(root, definition.folder, definition.name)
-    _finish_closing(spark, path)
-    loads = [load for load in _loads(spark, path) if not load.startswith("closed-") and load not in leave]
-    loads = [load for load in loads if _is_committed(spark, path, load)]
-    if not loads:
-        return None
-    entry = TableEntry(definition.name, definition.folder, root, tuple(definition.stored_columns))
-    sources = [f"{path}/{LOAD}={load}" for load in loads]
-    rows = spark.read.schema(definition.stored_schema).option("recursiveFileLookup", True).parquet(*sources)
-    first = rows.agg(segment_name(F.min(INGEST_TIME))).first()[0]
+    snapshots.clean(spark, path, keep_seconds)
+    state = snapshots.snapshot(spark, path)
+    if state is None:
+        if not path_exists(spark, path):
+            return None
+        snapshots.begin(spark, path, f"{LOAD}=")
+        state = snapshots.snapshot(spark, path)
+    loads = {k: v for k, v in state["loads"].items() if not k.startswith("closed-") and k not in leave}
+    files = [f for load in loads.values() for f in load["files"]]
+    rows = snapshots.read_files(spark, path, [f[0] for f in files], definition.stored_schema)
+    firsts = [f[2] for f in files]
+    known = firsts and all(x is not None for x in firsts)
+    earliest = F.lit(min(firsts)).cast("timestamp_ntz") if known else F.min(INGEST_TIME)
+    source = spark.range(1).select(segment_name(earliest)) if known else rows.agg(segment_name(earliest))
+    first = source.first()[0] if files else None
     if first is None:
         return None
-    size = sum(_size(spark, source) for source in sources)
-    files = max(1, -(-size // TARGET_FILE_BYTES))
-    spread = F.xxhash64(*[quoted(c) for c in entry_columns(entry)])
-    ordered = rows.repartitionByRange(files, F.col(INGEST_TIME), spread).sortWithinPartitions(INGEST_TIME)
+    parts = max(1, -(-sum(f[1] for f in files) // TARGET_FILE_BYTES))
+    spread = F.xxhash64(*[quoted(name) for name, _ in definition.stored_columns])
+    ordered = rows.repartitionByRange(parts, F.col(INGEST_TIME), spread).sortWithinPartitions(INGEST_TIME)
     closed = f"closed-{first}-{uuid.uuid4().hex[:8]}"
-    write_text(spark, f"{path}/{CLOSING}", json.dumps({"hidden": [closed]}))
-    ordered.withColumn(DATE, F.to_date(INGEST_TIME)).write.partitionBy(DATE).parquet(f"{path}/{LOAD}={closed}")
-    _remember_epochs(spark, path, loads)
-    write_text(spark, f"{path}/{CLOSING}", json.dumps({"hidden": loads}))
-    _finish_closing(spark, path)
+    folder = f"{LOAD}={closed}"
+    ordered.withColumn(DATE, F.to_date(INGEST_TIME)).write.partitionBy(DATE).parquet(f"{path}/{folder}")
+    segment = {"folder": folder, "files": snapshots.measured_files(spark, path, folder).get("", [])}
+    if not snapshots.commit_loads(spark, path, {closed: segment}, loads, _epochs(loads)):
+        remove_path(spark, f"{path}/{folder}")
+        return None
     return closed
 
 
-def entry_columns(entry: TableEntry) -> list[str]:
-    return [name for name, _ in entry.columns]
-
-
-def _size(spark: SparkSession, path: str) -> int:
-    fs, p = _path(spark, path)
-    return fs.getContentSummary(p).getLength()
+def clean_table(
+    spark: SparkSession, root: str, definition: ItemDefinition, keep_seconds: float = snapshots.KEEP_SECONDS
+) -> list[str]:
+    """Remove folders that were replaced or closed ``keep_seconds`` ago or earlier; returns them."""
+    return snapshots.clean(spark, table_path(root, definition.folder, definition.name), keep_seconds)
 
 
 def scan_definition(spark: SparkSession, root: str, definition: ItemDefinition) -> DataFrame:

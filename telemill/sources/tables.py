@@ -1,6 +1,7 @@
 """Stored tables: where they are, and reading them back.
 
 ``root/<folder>/<type>.json``                                    schema file
+``root/<folder>/<type>/_snapshots/*.json``                        what the table consists of
 ``root/<folder>/<type>/__load=<id>/__date=<day>/*.parquet``      rows
 ``root/<folder>/<type>.csv/__load=<id>/__segment=<name>/__until=<end>/*.csv``  exported rows
 ``root/<folder>/<name>_<type>.csv`` (or without ``.csv``)        rows from elsewhere
@@ -8,7 +9,6 @@
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_right
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 
 from telemill.definitions import INGEST_TIME, stored_schema
 from telemill.functions.checks import value_from_text
-from telemill.session import _path, configure_session, path_exists, quoted, read_text
+from telemill.session import _path, configure_session, path_exists, quoted, readable
+from telemill.sources import snapshots
 from telemill.sources.catalog import TableEntry, discover_catalog, find_table
 
 LOAD, DATE, SEGMENT, UNTIL = "__load", "__date", "__segment", "__until"
-CLOSING = "_closing.json"
 CSV_OPTIONS = {"header": "false", "quote": '"', "escape": '"', "lineSep": "\n", "multiLine": "true"}
 _SEGMENT_TIME = "%Y-%m-%d_%H-%M-%S.%f"
 
@@ -44,13 +44,6 @@ def csv_path(root: str, folder: str, type_name: str) -> str:
     return f"{table_path(root, folder, type_name)}.csv"
 
 
-def hidden_loads(spark: SparkSession, path: str) -> list[str]:
-    """Loads that readers skip: a closed segment being written, or those that it has replaced."""
-    if not path_exists(spark, f"{path}/{CLOSING}"):
-        return []
-    return json.loads(read_text(spark, f"{path}/{CLOSING}"))["hidden"]
-
-
 def _period(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start is not None:
         df = df.where(F.col(INGEST_TIME) >= F.lit(start).cast("timestamp_ntz"))
@@ -59,17 +52,31 @@ def _period(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     return df
 
 
+def _zone_time(text: str | None) -> str | None:
+    """A time in the form that zones have: as Spark shows it, without trailing zeros."""
+    if text is None:
+        return None
+    try:
+        shown = str(datetime.fromisoformat(text).replace(tzinfo=None))
+    except ValueError:
+        return None  # in another form that Spark may know: rows are filtered, no file is passed over
+    return shown.rstrip("0") if "." in shown else shown
+
+
 def scan_parquet(spark: SparkSession, entry: TableEntry, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows of the newest snapshot; of a period only the files whose zone meets it are opened, and nothing is listed."""
     schema = stored_schema(list(entry.columns))
     path = table_path(entry.root, entry.folder, entry.type_name)
+    state = snapshots.snapshot(spark, path)
+    if state is not None:
+        files = [f for load in state["loads"].values() for f in load["files"]]
+        names = snapshots.in_period(files, _zone_time(start), _zone_time(end))
+        return _period(snapshots.read_files(spark, path, names, schema), start, end)
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    # Written without snapshots: whole days are dropped by their folder, the rest by row-group statistics.
     placed = T.StructType([*schema.fields, T.StructField(LOAD, T.StringType()), T.StructField(DATE, T.DateType())])
-    rows = spark.read.schema(placed).parquet(path)
-    stale = hidden_loads(spark, path)
-    if stale:
-        rows = rows.where(~F.col(LOAD).isin(stale))
-    # Whole days are dropped by their folder, the rest by row-group statistics.
+    rows = spark.read.schema(placed).parquet(readable(path))
     if start is not None:
         rows = rows.where(F.col(DATE) >= F.to_date(F.lit(start).cast("timestamp_ntz")))
     if end is not None:
@@ -93,13 +100,13 @@ class CsvSegment:
 
 def csv_segments(spark: SparkSession, entry: TableEntry) -> list[CsvSegment]:
     """A type's CSV segments in the order of their names."""
-    base = f"{entry.root}/{entry.folder}"
-    flat = _glob(spark, f"{base}/*_{entry.type_name}.csv") + _glob(spark, f"{base}/*_{entry.type_name}")
+    base, name = readable(f"{entry.root}/{entry.folder}"), readable(entry.type_name)
+    flat = _glob(spark, f"{base}/*_{name}.csv") + _glob(spark, f"{base}/*_{name}")
     found = []
     for p in flat:
         end = "_" + entry.type_name + (".csv" if p.endswith(".csv") else "")
         found.append(CsvSegment(p.rsplit("/", 1)[1][: -len(end)], p))
-    exported = csv_path(entry.root, entry.folder, entry.type_name)
+    exported = readable(csv_path(entry.root, entry.folder, entry.type_name))
     for p in _glob(spark, f"{exported}/{LOAD}=*/{SEGMENT}=*/{UNTIL}=*"):
         name, until = (part.split("=", 1)[1] for part in p.rsplit("/", 2)[1:])
         found.append(CsvSegment(name, p, until))
@@ -154,7 +161,7 @@ def scan_csv(
     if not segments:
         return spark.createDataFrame([], schema)
     cells = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(cells).options(**CSV_OPTIONS).csv([s.path for s in segments])
+    raw = spark.read.schema(cells).options(**CSV_OPTIONS).csv([readable(s.path) for s in segments])
     typed = raw.select(
         *[
             value_from_text(kind, quoted(name)).alias(name, metadata=schema[name].metadata)

@@ -1,13 +1,13 @@
-"""The registry of definitions, kept as a table so that it survives restarts."""
+"""The registry of definitions, kept as a log so that it survives restarts and takes several writers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from telemill.definitions import ItemDefinition
 from telemill.operators.lint import OK, lint_definitions
-from telemill.session import configure_session, path_exists
+from telemill.session import configure_session
+from telemill.sources.log import ControlLog
 
 _SCHEMA = "seq bigint, name string, action string, definition string"
 
@@ -30,47 +30,61 @@ def load_definitions(spark: SparkSession, texts: list[str]) -> list[ItemDefiniti
     return [ItemDefinition.from_json(text) for text in texts]
 
 
+def _fold(state: dict, entry: dict) -> dict:
+    rest = {name: text for name, text in state.items() if name != entry["name"]}
+    return {**rest, entry["name"]: entry["definition"]} if entry["action"] == "add" else rest
+
+
 class Registry:
-    """Append-only log of definitions added and removed under ``path``."""
+    """Log of definitions added and removed under ``path``.
+
+    Every change is an entry made by exclusive create, with a number of its own. A writer that finds its number taken looks
+    again, so of several that add a type at once one succeeds, and the others are told that it exists.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._log = ControlLog(spark, path, _fold, prune=False)
+
+    def _current(self) -> dict[str, str]:
+        return self._log.state()[1]
 
     def log(self) -> DataFrame:
-        if not path_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], _SCHEMA)
-        return self.spark.read.schema(_SCHEMA).parquet(self.path)
+        """``(seq, name, action, definition)`` of all changes."""
+        rows = [(n, e["name"], e["action"], e["definition"]) for n, e in enumerate(self._log.entries())]
+        return self.spark.createDataFrame(rows, _SCHEMA)
 
     def current(self) -> DataFrame:
         """``(name, definition)`` of every type that is defined now."""
-        last = F.max_by(F.struct("action", "definition"), "seq").alias("e")
-        return self.log().groupBy("name").agg(last).where("e.action = 'add'").select("name", "e.definition")
+        return self.spark.createDataFrame(sorted(self._current().items()), "name string, definition string")
 
     def definitions(self) -> list[ItemDefinition]:
-        rows = self.current().orderBy("name").collect()
-        return [ItemDefinition.from_json(row.definition) for row in rows]
+        return [ItemDefinition.from_json(text) for _, text in sorted(self._current().items())]
 
     def names(self) -> list[str]:
-        return [row.name for row in self.current().select("name").orderBy("name").collect()]
+        return sorted(self._current())
 
     def get(self, name: str) -> ItemDefinition:
-        row = self.current().where(F.col("name") == name).first()
-        if row is None:
+        text = self._current().get(name)
+        if text is None:
             raise DefinitionError("not_found", name)
-        return ItemDefinition.from_json(row.definition)
+        return ItemDefinition.from_json(text)
 
     def add(self, text: str) -> ItemDefinition:
         definition = load_definitions(self.spark, [text])[0]
-        if definition.name in self.names():
-            raise DefinitionError("already_exists", definition.name)
-        self._append(definition.name, "add", text)
+
+        def change(state: dict) -> dict:
+            if definition.name in state:
+                raise DefinitionError("already_exists", definition.name)
+            return {"name": definition.name, "action": "add", "definition": text}
+
+        self._log.commit(change)
         return definition
 
     def remove(self, name: str) -> None:
-        self.get(name)
-        self._append(name, "remove", None)
+        def change(state: dict) -> dict:
+            if name not in state:
+                raise DefinitionError("not_found", name)
+            return {"name": name, "action": "remove", "definition": None}
 
-    def _append(self, name: str, action: str, text: str | None) -> None:
-        last = self.log().agg(F.max("seq")).first()[0]
-        entry = [(0 if last is None else last + 1, name, action, text)]
-        self.spark.createDataFrame(entry, _SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        self._log.commit(change)

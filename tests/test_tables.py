@@ -10,7 +10,7 @@ from telemill.plans.store import read_quarantine, store_batch
 from telemill.session import path_exists, read_text, write_text
 from telemill import session
 from telemill.plans import store
-from telemill.sources import sinks
+from telemill.sources import sinks, snapshots
 from telemill.sources.catalog import CatalogError, find_table
 from telemill.sources.sinks import prepare_tables, scan_definition, stream_load
 from telemill.sources.tables import CsvSegment, SchemaDriftError, scan_csv, segments_in_period
@@ -136,9 +136,8 @@ def test_period_reads_only_its_days(spark, root):
     for day in (1, 2, 3):
         store_batch(bodies(spark, BODY), [QUERY_TEST], root, f"day{day}", f"2024-06-0{day} 10:00:00")
     df = telemill.scan_table(spark, root, "querytest", "2024-06-02 00:00:00", "2024-06-03 00:00:00")
-    assert df.count() == 3 and len(df.inputFiles()) == 3
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "__date" in plan
+    # The table's snapshot says which files can hold the period; the others are not even listed.
+    assert df.count() == 3 and len(df.inputFiles()) == 1
     selective = telemill.open_table(spark, root, "querytest").where("value", ">=", 20).project("label").df
     plan = selective._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(value,20)" in plan and "ReadSchema: struct<label:string,value:bigint>" in plan
@@ -263,12 +262,12 @@ def test_close_leaves_writes_in_progress(spark, root):
 
 def test_closing_that_never_published(spark, root, monkeypatch):
     store_batch(bodies(spark, BODY), [QUERY_TEST], root, "one", "2024-06-01 10:00:00")
-    remember = sinks._remember_epochs
-    monkeypatch.setattr(sinks, "_remember_epochs", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    commit = snapshots.commit_loads
+    monkeypatch.setattr(snapshots, "commit_loads", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):
         telemill.close_segment(spark, root, QUERY_TEST)
     assert telemill.scan_table(spark, root, "querytest").count() == 3
-    monkeypatch.setattr(sinks, "_remember_epochs", remember)
+    monkeypatch.setattr(snapshots, "commit_loads", commit)
     assert telemill.close_segment(spark, root, QUERY_TEST) is not None
     assert telemill.scan_table(spark, root, "querytest").count() == 3
 
@@ -323,6 +322,8 @@ def test_failed_batch_write_is_on_record(spark, root, monkeypatch):
 
 
 def test_scratch_needs_a_shared_folder(spark, monkeypatch, tmp_path):
+    plain = spark.conf.get
+    monkeypatch.setattr(spark.conf, "get", lambda key, *rest: None if key == "spark.checkpoint.dir" else plain(key, *rest))
     monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
     monkeypatch.setattr(session, "_context_checkpoint_dir", lambda _: None)
     with pytest.raises(session.ScratchError):
@@ -334,21 +335,20 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch, tmp_path):
 def test_cut_short_while_closing(spark, root, monkeypatch):
     store_batch(bodies(spark, BODY), [QUERY_TEST], root, "one", "2024-06-01 10:00:00")
     store_batch(bodies(spark, BODY), [QUERY_TEST], root, "two", "2024-06-01 11:00:00")
-    finish, calls = sinks._finish_closing, []
-
-    def once(*args):
-        calls.append(args)
-        if len(calls) > 1:
-            raise RuntimeError("lost")
-        finish(*args)
-
-    monkeypatch.setattr(sinks, "_finish_closing", once)
-    with pytest.raises(RuntimeError):
-        telemill.close_segment(spark, root, QUERY_TEST)
+    table = f"{root}/querytest/querytest"
+    assert telemill.close_segment(spark, root, QUERY_TEST) is not None
     # The closed segment is there and so are the loads it replaces; each row counts once.
     assert scan_definition(spark, root, QUERY_TEST).count() == 6
-    monkeypatch.setattr(sinks, "_finish_closing", finish)
-    assert telemill.close_segment(spark, root, QUERY_TEST) is None
+    assert path_exists(spark, f"{table}/__load=one") and path_exists(spark, f"{table}/__load=two")
+    remove = snapshots.remove_path
+    monkeypatch.setattr(snapshots, "remove_path", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        sinks.clean_table(spark, root, QUERY_TEST, keep_seconds=0)
+    assert scan_definition(spark, root, QUERY_TEST).count() == 6
+    monkeypatch.setattr(snapshots, "remove_path", remove)
+    assert telemill.close_segment(spark, root, QUERY_TEST, keep_seconds=0) is None
+    assert not path_exists(spark, f"{table}/__load=one") and not path_exists(spark, f"{table}/__load=two")
+    assert sinks.clean_table(spark, root, QUERY_TEST, keep_seconds=0) == []
     assert telemill.scan_table(spark, root, "querytest").count() == 6
 
 
