@@ -17,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.llm.common import pieces, stored, text_bytes
-from telemill.session import join_lookup, remove_path
+from telemill.llm.common import pieces, remove_stored, stored, text_bytes
+from telemill.session import join_lookup
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -29,7 +29,7 @@ LONGEST = 5
 MIN_COUNT = 100
 ABSORBED = 100  # per cent of a phrase's occurrences that a longer one must take to absorb it
 TOP = 2000
-COUNTED_WORDS = 500_000  # different words a task counts before it sends its counts on
+COUNTED_WORDS = 300_000  # different words a task counts before it sends its counts on
 KNOWN_WORDS = 500_000  # words that are broadcast with their numbers, about 30 bytes each
 FLUSH = 200_000  # words to a row of codes
 PAIRS_AT_ONCE = 2_000_000  # pairs of words counted before they are sent on
@@ -49,26 +49,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``(lang, word, f)`` over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> pa.RecordBatch:
-            flat = [(lang, w, f) for lang, counts in met.items() for w, f in counts.items() if w and w != b"\n"]
-            columns = list(zip(*flat)) or [[], [], []]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[0], pa.string()),
-                    pa.array(columns[1], pa.binary()).cast(pa.string()),
-                    pa.array(columns[2], pa.int64()),
-                ],
-                ["lang", "word", "f"],
-            )
+        def rows() -> Iterator[pa.RecordBatch]:
+            while met:
+                lang, counts = met.popitem()
+                counts.pop(b"", None)
+                counts.pop(b"\n", None)
+                words = pa.array(counts.keys(), pa.binary(), size=len(counts)).cast(pa.string())
+                f = np.fromiter(counts.values(), np.int64, len(counts))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(words)), words, pa.array(f)], ["lang", "word", "f"])
 
         met: dict[str, Counter] = {}
         for batch in pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 met.setdefault(lang, Counter()).update(tokens(text))
             if sum(map(len, met.values())) > COUNTED_WORDS:
-                yield rows()
-                met.clear()
-        yield rows()
+                yield from rows()
+        yield from rows()
 
     found = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
         run, "lang string, word string, f bigint"
@@ -188,7 +184,6 @@ def edges(codes: DataFrame, pairs: np.ndarray, longest: int) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, frequent: DataFrame, complete: bool, longest: int, min_count: int) -> DataFrame:
     """``(p, f)``: runs of 2 to ``longest`` words, as arrays of their numbers, that occur ``min_count`` times or more."""
-    spark = docs.sparkSession
     known: dict[str, dict[bytes, int]] = {}
     for batch in frequent.select("lang", "word", "id").toArrow().to_batches():
         for lang, word, number in zip(*(c.to_pylist() for c in batch.columns)):
@@ -197,7 +192,7 @@ def phrase_counts(docs: DataFrame, frequent: DataFrame, complete: bool, longest:
     codes = stored(coded(docs, known, complete), "phrase-codes")
     pairs = frequent_pairs(codes, min_count)
     level, found = stored(edges(codes, pairs, longest), "phrase-edges", batch_rows=1), None
-    _drop(spark, codes)
+    remove_stored(codes)
     for size in range(longest, 1, -1):
         names = [f"w{i}" for i in range(1, size + 1)]
         often = level.where(f"f >= {min_count} AND w{size} <> 0").select(F.array(*names).alias("p"), "f")
@@ -206,17 +201,11 @@ def phrase_counts(docs: DataFrame, frequent: DataFrame, complete: bool, longest:
         if size > 2:
             nodes = level.groupBy(*names[:-1]).agg(F.sum("f").alias("f"))
             above, level = level, stored(nodes, "phrase-nodes")
-            _drop(spark, above)
-    _drop(spark, level)
+            remove_stored(above)
+    remove_stored(level)
     return found
 
 
-def _drop(spark: SparkSession, table: DataFrame) -> None:
-    """A stored step that nothing reads any more makes room for the next."""
-    for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
-        remove_path(spark, folder)
-
-
 def collocations(
     docs: DataFrame,
     longest: int = LONGEST,
@@ -241,8 +230,9 @@ def collocations(
     """
     rows = docs.select("lang", "text")
     words = stored(word_counts(rows), "phrase-words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
     often = stored(words.where(F.col("f") >= min_count), "phrase-often")
+    remove_stored(words)
     complete = often.count() <= known_words
     least = min_count
     if not complete:

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.session import scratch_dir
+from telemill.session import remove_path, scratch_dir
 
 # Functions that run on executors travel as code, so that a cluster needs no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -50,6 +50,13 @@ def stored(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(*tables: DataFrame) -> None:
+    """Stored steps that nothing reads any more make room for the next."""
+    for table in tables:
+        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+            remove_path(table.sparkSession, folder)
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each text."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

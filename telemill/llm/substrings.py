@@ -13,13 +13,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.common import pieces, stored, text_bytes
+from telemill.llm.common import pieces, remove_stored, stored, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
 SEED_WORDS = 5
 _BASE = 0x9E3779B97F4A7C15
+_SECOND_BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 _CACHE = 400_000
 
@@ -39,7 +40,7 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     """Hash of each run of ``size`` word hashes."""
     total = len(words) - size + 1
     if total <= 0:
@@ -47,10 +48,30 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     out, factor = np.zeros(total, np.uint64), 1
     for i in range(size):
         out += words[i : i + total] * np.uint64(factor)
-        factor = factor * _BASE & _MASK
+        factor = factor * base & _MASK
     return _mix(out)
 
 
+def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
+    """128 bits for each window, as two columns."""
+    return np.stack([gram_hashes(words, window), gram_hashes(words, window, _SECOND_BASE)], axis=1)
+
+
+def found_among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which rows of 128 bits are among the wanted ones."""
+    order = np.lexsort((wanted[:, 1], wanted[:, 0]))
+    wanted = wanted[order]
+    hit = np.zeros(len(hashes), bool)
+    place = np.searchsorted(wanted[:, 0], hashes[:, 0])
+    while True:  # once more for each repetition of the first 64 bits, which is next to never
+        inside = place < len(wanted)
+        inside[inside] = wanted[place[inside], 0] == hashes[inside, 0]
+        if not inside.any():
+            return hit
+        hit[inside] |= wanted[place[inside], 1] == hashes[inside, 1]
+        place = np.where(inside, place + 1, len(wanted))
+
+
 def chosen_seeds(words: np.ndarray, window: int, seed_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Seed hashes, and the position of the seed that stands for each window.
 
@@ -102,7 +123,7 @@ def seeds(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -
 
 
 def _extended(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
-    """``(doc_id, match)``: distinct hashes of the windows whose seed is in the row's ``shared`` list.
+    """``(doc_id, m1, m2)``: distinct 128-bit hashes of the windows whose seed is in the row's ``shared`` list.
 
     Around a seed these are all the ways to extend it left and right to the length threshold.
     """
@@ -116,13 +137,14 @@ def _extended(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
                 hashes, place = chosen_seeds(words, window, seed_words)
                 wanted = np.asarray(shared.values, dtype=np.int64).view(np.uint64)
                 hit = np.isin(hashes[place], wanted)
-                found.append(np.unique(gram_hashes(words, window)[hit]))
+                found.append(np.unique(window_hashes(words, window)[hit], axis=0))
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(flat.view(np.int64))], ["doc_id", "match"])
+            flat = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+            halves = [pa.array(np.ascontiguousarray(flat[:, i]).view(np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([ids, *halves], ["doc_id", "m1", "m2"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {key}, match bigint")
+    return docs.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {key}, m1 bigint, m2 bigint")
 
 
 def later_matches(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -133,14 +155,19 @@ def later_matches(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_
     so a passage that very many share costs no more than the places it stands in.
     """
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found = seeds(rows, window, seed_words)
-    common = found.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    shared = stored(found.join(common.select("seed"), "seed", "left_semi"), "repeat-seeds")
-    lists = shared.groupBy("doc_id").agg(F.collect_set("seed").alias("shared"))
+    # Each step is a table of its own: it is worked out once, and a join of plain tables can be split at busy seeds and windows.
+    found = stored(seeds(rows, window, seed_words), "repeat-found")
+    ends = F.min("doc_id").alias("x"), F.max("doc_id").alias("y")
+    common = stored(found.groupBy("seed").agg(*ends).where("x <> y").select("seed"), "repeat-common")
+    shared = stored(found.join(common, "seed", "left_semi"), "repeat-seeds")
+    remove_stored(found, common)
+    lists = stored(shared.groupBy("doc_id").agg(F.collect_set("seed").alias("shared")), "repeat-lists")
+    remove_stored(shared)
     matches = stored(_extended(rows.join(lists, "doc_id"), window, seed_words), "repeat-windows")
-    first = matches.groupBy("match").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    later = matches.join(first.select("match", "x"), "match").where("doc_id > x")
-    return stored(later.groupBy("doc_id").agg(F.collect_set("match").alias("repeats")), "repeat-later")
+    first = stored(matches.groupBy("m1", "m2").agg(*ends).where("x <> y").select("m1", "m2", "x"), "repeat-first")
+    later = stored(matches.join(first, ["m1", "m2"]).where("doc_id > x").select("doc_id", "m1", "m2"), "repeat-later")
+    remove_stored(matches, first, lists)
+    return stored(later.groupBy("doc_id").agg(F.collect_set(F.struct("m1", "m2")).alias("repeats")), "repeat-of-rows")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -166,8 +193,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
                 n = len(words)
                 if repeats.is_valid and n >= window:
                     _, hashes = _word_hashes(text, known)
-                    wanted = np.asarray(repeats.values, dtype=np.int64).view(np.uint64)
-                    starts = np.flatnonzero(np.isin(gram_hashes(hashes, window), wanted))
+                    wanted = np.stack([c.to_numpy() for c in repeats.values.flatten()], axis=1).view(np.uint64)
+                    starts = np.flatnonzero(found_among(window_hashes(hashes, window), wanted))
                     edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
