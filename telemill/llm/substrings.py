@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import sys
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def gram_hashes(words: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` word hashes."""
     total = len(words) - size + 1
     if total <= 0:
@@ -48,15 +49,10 @@ def gram_hashes(words: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     out, factor = np.zeros(total, np.uint64), 1
     for i in range(size):
         out += words[i : i + total] * np.uint64(factor)
-        factor = factor * base & _MASK
+        factor = factor * _BASE & _MASK
     return _mix(out)
 
 
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    """128 bits for each window, as two columns."""
-    return np.stack([gram_hashes(words, window), gram_hashes(words, window, _SECOND_BASE)], axis=1)
-
-
 def found_among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Which rows of 128 bits are among the wanted ones."""
     order = np.lexsort((wanted[:, 1], wanted[:, 0]))
@@ -86,44 +82,82 @@ def chosen_seeds(words: np.ndarray, window: int, seed_words: int) -> tuple[np.nd
     best, place = hashes[:total].copy(), np.arange(total)
     for i in range(1, window - seed_words + 1):
         other = hashes[i : i + total]
-        lower = other <= best
-        best[lower] = other[lower]
-        place[lower] = np.flatnonzero(lower) + i
+        place = np.where(other <= best, np.arange(i, i + total), place)
+        np.minimum(best, other, out=best)
     return hashes, place
 
 
-def _word_hashes(text: bytes | None, known: WordHashes) -> tuple[list[bytes], np.ndarray]:
-    words = (text or b"").split()
-    return words, np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Words:
+    """The words of several texts one after the other, as hashes; what spans two texts counts for neither."""
+
+    def __init__(self, texts: list[bytes | None], known: WordHashes):
+        self.texts = [(text or b"").split() for text in texts]
+        self.sizes = np.array([len(words) for words in self.texts], np.int64)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        flat = itertools.chain.from_iterable(self.texts)
+        self.hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(self.owner))
+
+    def windows(self, window: int) -> np.ndarray:
+        """Where windows start that lie within one text."""
+        return np.flatnonzero(self.owner[: len(self.owner) - window + 1] == self.owner[window - 1 :]) if len(self.owner) >= window else np.zeros(0, np.int64)
+
+    def hashes_at(self, starts: np.ndarray, window: int) -> np.ndarray:
+        """128 bits for each window, as two columns."""
+        found = np.zeros((len(starts), 2), np.uint64)
+        one, two = 1, 1
+        for i in range(window):
+            word = self.hashes[starts + i]
+            found[:, 0] += word * np.uint64(one)
+            found[:, 1] += word * np.uint64(two)
+            one, two = one * _BASE & _MASK, two * _SECOND_BASE & _MASK
+        return _mix(found)
+
 
+def _of_owner(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A hash that also tells the texts of a batch apart."""
+    return hashes + owner.astype(np.uint64) * np.uint64(_SECOND_BASE)
 
-def _long_lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, values)])
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
+
+def _once(owner: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Places of rows, each kept once (a rare repetition may stay)."""
+    key = _of_owner(columns[0], owner)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    same = [np.diff(c[order].view(np.int64)) == 0 for c in (key, *columns)]
+    new[1:] = ~np.logical_and.reduce(same)
+    return order[new]
+
+
+def _by_owner(ids: pa.Array, owner: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    values = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), *values], names)
 
 
 def seeds(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
-    """``(doc_id, seed)``: each distinct seed of each row."""
+    """``(doc_id, seed)``: each seed of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in pieces(batches):
-            found = []
-            for text in text_bytes(batch.column(1)):
-                _, words = _word_hashes(text, known)
-                hashes, place = chosen_seeds(words, window, seed_words)
-                found.append(np.unique(hashes[np.unique(place)]))
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(flat.view(np.int64))], ["doc_id", "seed"])
+            words = Words(text_bytes(batch.column(1)), known)
+            hashes, place = chosen_seeds(words.hashes, window, seed_words)
+            at = np.unique(place[words.windows(window)])
+            owner, found = words.owner[at], hashes[at]
+            kept = _once(owner, found)
+            yield _by_owner(batch.column(0), owner[kept], [found[kept]], ["doc_id", "seed"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, seed bigint")
 
 
+def _flat_lists(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All values of a column of lists, and the row of each."""
+    sizes = [len(x) if x.is_valid else 0 for x in lists]
+    return lists.flatten(), np.repeat(np.arange(len(lists)), sizes)
+
+
 def _extended(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
-    """``(doc_id, m1, m2)``: distinct 128-bit hashes of the windows whose seed is in the row's ``shared`` list.
+    """``(doc_id, m1, m2)``: 128-bit hashes of the windows whose seed is in the row's ``shared`` list.
 
     Around a seed these are all the ways to extend it left and right to the length threshold.
     """
@@ -131,17 +165,16 @@ def _extended(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in pieces(batches):
-            found = []
-            for text, shared in zip(text_bytes(batch.column(1)), batch.column(2)):
-                _, words = _word_hashes(text, known)
-                hashes, place = chosen_seeds(words, window, seed_words)
-                wanted = np.asarray(shared.values, dtype=np.int64).view(np.uint64)
-                hit = np.isin(hashes[place], wanted)
-                found.append(np.unique(window_hashes(words, window)[hit], axis=0))
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-            flat = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-            halves = [pa.array(np.ascontiguousarray(flat[:, i]).view(np.int64)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([ids, *halves], ["doc_id", "m1", "m2"])
+            words = Words(text_bytes(batch.column(1)), known)
+            hashes, place = chosen_seeds(words.hashes, window, seed_words)
+            starts = words.windows(window)
+            shared, of = _flat_lists(batch.column(2))
+            # Seeds that only look alike add windows, which are compared by themselves.
+            wanted = _of_owner(shared.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), of)
+            starts = starts[np.isin(_of_owner(hashes[place[starts]], words.owner[starts]), wanted)]
+            found, owner = words.hashes_at(starts, window), words.owner[starts]
+            kept = _once(owner, found[:, 0], found[:, 1])
+            yield _by_owner(batch.column(0), owner[kept], [found[kept, 0], found[kept, 1]], ["doc_id", "m1", "m2"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {key}, m1 bigint, m2 bigint")
@@ -187,21 +220,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
         known = WordHashes()
         for batch in pieces(batches):
             counts, gone, texts, sums, spans = [], [], [], [], []
-            for text, repeats in zip(text_bytes(batch.column(1)), batch.column(2)):
-                words = (text or b"").split()
+            contents, listed = text_bytes(batch.column(1)), batch.column(2).is_valid().to_pylist()
+            # Only texts with repeats are hashed again.
+            some = Words([t if has else b"" for t, has in zip(contents, listed)], known)
+            starts = some.windows(window)
+            repeats, of = _flat_lists(batch.column(2))
+            wanted = np.stack([c.to_numpy().astype(np.int64).view(np.uint64) for c in repeats.flatten()], axis=1)
+            wanted[:, 0] = _of_owner(wanted[:, 0], of)
+            hashes = some.hashes_at(starts, window)
+            hashes[:, 0] = _of_owner(hashes[:, 0], some.owner[starts])
+            starts = starts[found_among(hashes, wanted)]
+            edge = np.zeros(len(some.owner) + 1, np.int64)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + window, -1)
+            every, at = np.cumsum(edge[:-1]) > 0, 0
+            for text, has, words in zip(contents, listed, some.texts):
+                words = words if has else (text or b"").split()
                 runs: list[str] = []
                 n = len(words)
-                if repeats.is_valid and n >= window:
-                    _, hashes = _word_hashes(text, known)
-                    wanted = np.stack([c.to_numpy() for c in repeats.values.flatten()], axis=1).view(np.uint64)
-                    starts = np.flatnonzero(found_among(window_hashes(hashes, window), wanted))
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
-                    covered = np.cumsum(edge[:n]) > 0
+                if has:
+                    covered = every[at : at + n]
+                    at += n
                     turns = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-                    runs = [f"{a}:{b}" for a, b in zip(turns[::2], turns[1::2])]
-                    words = [words[i] for i in np.flatnonzero(~covered)]
+                    runs = [f"{x}:{y}" for x, y in zip(turns[::2], turns[1::2])]
+                    words = list(itertools.compress(words, (~covered).tolist()))
                 kept = b" ".join(words)
                 counts.append(n)
                 gone.append(n - len(words))
