@@ -30,6 +30,7 @@ HEADLINE = [
     "validated_items",
     "route_by_type",
     "type_checks",
+    "many_types",
     "rejected_by_reason",
     "batch_report",
     "scan_where",

@@ -63,7 +63,7 @@ def present_value(kind: str, field: SparkColumn) -> SparkColumn:
     return F.try_variant_get(field, "$", KINDS[kind].simpleString())
 
 
-def present_error(kind: str, name: str, field: SparkColumn) -> SparkColumn:
+def present_error(kind: str, name: str | SparkColumn, field: SparkColumn) -> SparkColumn:
     """Error struct of a field that is present, NULL if it is right."""
     name_col = F.lit(name)
     wrong_type = error("invalid_field_type", name_col, render_value(field))
@@ -110,8 +110,11 @@ def field_error(column: Column, field: SparkColumn) -> SparkColumn:
     checked = present_error(column.kind, column.name, field)
     if column.optional or column.default is not None:
         return F.when(field.isNotNull(), checked)
-    missing = error("missing_required_field", F.lit(column.name), F.lit("missing"))
-    return F.when(field.isNull(), missing).otherwise(checked)
+    return F.when(field.isNull(), missing_error(column.name)).otherwise(checked)
+
+
+def missing_error(name: str | SparkColumn) -> SparkColumn:
+    return error("missing_required_field", F.lit(name), F.lit("missing"))
 
 
 def field_value(column: Column, field: SparkColumn) -> SparkColumn:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.definitions import INGEST_TIME, ItemDefinition
-from telemill.functions.checks import field_error, field_value
+from telemill.functions.checks import field_error, field_value, missing_error, present_error
 from telemill.functions.errors import ERROR_TYPE, error, render_error
 from telemill.functions.strict_json import object_fields
 from telemill.operators.envelopes import ITEM
@@ -57,25 +57,17 @@ def check_items(items: DataFrame, definitions: Iterable[ItemDefinition]) -> Data
     """Add ``route`` and ``errors`` to split items, every error of every item.
 
     One narrow pass for all types: an item runs through the checks of its own
-    type only. Rows without errors and with a route are accepted.
+    type only. Rows without errors and with a route are accepted. A few types are compiled each by itself;
+    of many, columns are checked by their place and kind, with names as data, so the plan does not grow with the number of types.
     """
     definitions = list(definitions)
     kept = [quoted(c) for c in items.columns if c not in ("code", "value")]
-    opened = _with_fields(items, [*kept, F.col("code"), F.col("value")], definitions)
-
-    # One column per position, holding the error of that column of the item's own
-    # type: each check runs once, and each compiles to a method of its own.
-    compiled = [_compiled_errors(d, _gateway()) for d in definitions]
-    positions = max((len(errors) for errors in compiled), default=0)
-    by_position = []
-    for at in range(positions):
-        branches = None
-        for number, errors in enumerate(compiled):
-            if at < len(errors):
-                test = F.col("__type_no") == number
-                branches = F.when(test, errors[at]) if branches is None else branches.when(test, errors[at])
-        by_position.append(branches.alias(f"__error_{at}"))
-    probed = opened.select(*kept, F.col("code"), F.col("value"), F.col("__type_no"), *by_position)
+    positions = max((len(d.columns) for d in definitions), default=0)
+    kinds = sorted({c.kind for d in definitions for c in d.columns})
+    if sum(len(d.columns) for d in definitions) > positions * len(kinds):
+        probed = _checked_by_kind(items, kept, definitions, positions, kinds)
+    else:
+        probed = _checked_by_type(items, kept, definitions, positions)
 
     nothing = F.array().cast(f"array<{ERROR_TYPE}>")
     undefined = F.array(error("item_type_not_defined").cast(ERROR_TYPE))
@@ -96,6 +88,52 @@ def check_items(items: DataFrame, definitions: Iterable[ItemDefinition]) -> Data
     )
 
 
+def _checked_by_type(
+    items: DataFrame, kept: list[Column], definitions: list[ItemDefinition], positions: int
+) -> DataFrame:
+    """``__type_no``, and ``__error_<n>``: what is wrong with the n-th column of the item's own type.
+
+    Each check runs once, and each compiles to a method of its own.
+    """
+    opened = _with_fields(items, [*kept, F.col("code"), F.col("value")], definitions)
+    compiled = [_compiled_errors(d, _gateway()) for d in definitions]
+    by_position = []
+    for at in range(positions):
+        branches = None
+        for number, errors in enumerate(compiled):
+            if at < len(errors):
+                test = F.col("__type_no") == number
+                branches = F.when(test, errors[at]) if branches is None else branches.when(test, errors[at])
+        by_position.append(branches.alias(f"__error_{at}"))
+    return opened.select(*kept, F.col("code"), F.col("value"), F.col("__type_no"), *by_position)
+
+
+_TYPE_SCHEMA = "type_name string, __type_no int, __names array<string>, __kinds array<string>, __required array<boolean>"
+
+
+def _checked_by_kind(
+    items: DataFrame, kept: list[Column], definitions: list[ItemDefinition], positions: int, kinds: list[str]
+) -> DataFrame:
+    """The same for any number of types: an item is joined with its type's names and kinds, a small broadcast table."""
+    rows = [
+        (d.name, n, [c.name for c in d.columns], [c.kind for c in d.columns], [not c.optional and c.default is None for c in d.columns])
+        for n, d in enumerate(definitions)
+    ]
+    types = F.broadcast(items.sparkSession.createDataFrame(rows, _TYPE_SCHEMA))
+    typed = [F.col(c) for c in ("code", "value", "__type_no", "__names", "__kinds", "__required")]
+    opened = settle(items.join(types, "type_name", "left"), [*kept, *typed], {"__fields": object_fields(F.col("data"))})
+    fields = {f"__field_{at}": F.col("__fields")[F.get("__names", F.lit(at))] for at in range(positions)}
+    spread = settle(opened, [*kept, *typed], fields)
+    errors = []
+    for at in range(positions):
+        field, name, kind = F.col(f"__field_{at}"), F.get("__names", F.lit(at)), F.get("__kinds", F.lit(at))
+        checked = F.when(field.isNull(), F.when(F.get("__required", F.lit(at)), missing_error(name).cast(ERROR_TYPE)))
+        for k in kinds:
+            checked = checked.when(kind == k, present_error(k, name, field).cast(ERROR_TYPE))
+        errors.append(checked.alias(f"__error_{at}"))
+    return spread.select(*kept, F.col("code"), F.col("value"), F.col("__type_no"), *errors)
+
+
 def _with_fields(items: DataFrame, kept: list[Column], definitions: list[ItemDefinition] = ()) -> DataFrame:
     """Add ``__fields``, the members of an item by name, and the number of its type."""
     number = F.lit(None).cast("int")

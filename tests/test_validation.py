@@ -1,9 +1,13 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 
+import telemill
 from telemill import Column, ItemDefinition, ingest_batch
+from telemill.definitions import KINDS
+from telemill.operators.validation import NO_ROUTE, check_items
 from tests.types import ALL, ALL_SCALARS, ALPHA, BETA, GAMMA, STAMP, VM_REBOOT, bodies
 
 NOON = dt.datetime(2024, 6, 1, 10)
@@ -125,3 +129,30 @@ def test_ingest_time_is_one_per_batch(spark):
     result = ingest_batch(bodies(spark, json.dumps(items)), ALL)
     times = {r.ingest_time for r in result.accepted("beta").collect()}
     assert len(times) == 1 and times.pop().microsecond % 1000 == 0
+
+
+def test_many_types_are_checked_like_few(spark):
+    """Checked by place and kind, items have the errors and values they have when each type is compiled by itself."""
+    rng = random.Random(3)
+    kinds = sorted(KINDS)
+    types = []
+    for n in range(30):
+        columns = [
+            Column(f"c{n} {i}", rng.choice(kinds), optional=rng.random() < 0.3) for i in range(rng.randrange(1, 6))
+        ]
+        types.append(ItemDefinition(f"type{n}", tuple(columns)))
+    values = [1, 2.5, True, "x", "{}", "1.02:03:04", "2024-06-01 10:00:00", None, [], 10**25]
+    items = []
+    for n in range(400):
+        d = types[rng.randrange(30)]
+        items.append({d.name: {c.name: rng.choice(values) for c in d.columns if rng.random() < 0.9}})
+    items += [{"unknown": {}}, {"type1": 3}, {"type2": {}, "type3": {}}]
+    split = telemill.split_envelopes(bodies(spark, json.dumps(items)))
+    many = {r.pos: r for r in check_items(split, types).collect()}
+    assert len(many) == 403
+    for some in (types[:3], types[3:6]):
+        for r in check_items(split, some).collect():
+            if r.route != NO_ROUTE or r.type_name is None:
+                assert many[r.pos].errors == r.errors and many[r.pos].route == r.route
+    plans = [len(check_items(split, types[:n])._jdf.queryExecution().analyzed().toString()) for n in (15, 30)]
+    assert plans[1] < 1.2 * plans[0]

@@ -345,3 +345,57 @@ def sidecar_root(spark: SparkSession, sf_dir: str, faulty: bool) -> str:
     )
     files.write.option("maxRecordsPerFile", 1).partitionBy("bucket").json(root)
     return root
+
+
+# --- very many types ---------------------------------------------------------------
+
+MANY_TYPES, MANY_COLUMNS = 200, 8
+
+
+def _kind_number(n, i: int):
+    """Which kind the i-th column of type n has; works for numbers and for columns of them."""
+    power = 7 ** (i % 4)
+    whole = F.floor(n / power) if isinstance(n, Column) else n // power
+    return (whole + i) % 7
+
+
+def many_types() -> list[ItemDefinition]:
+    """Types with columns of their own names and of nearly as many sequences of kinds; the last column of odd types is optional."""
+    return [
+        ItemDefinition(
+            f"part-{n}",
+            tuple(
+                Field(f"c{n}_{i}", CHECKED_KINDS[_kind_number(n, i)], optional=i == MANY_COLUMNS - 1 and n % 2 == 1)
+                for i in range(MANY_COLUMNS)
+            ),
+            folder="parts",
+        )
+        for n in range(MANY_TYPES)
+    ]
+
+
+def many_type_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as an item of one of many types; of some the first value is wrong, or the last is missing."""
+    parts = table(spark, sf_dir, "part")
+    key, n = F.col("p_partkey"), F.col("p_partkey") % MANY_TYPES
+    number = lambda c: c.cast("string")
+    text = lambda *parts: F.concat(F.lit('"'), *parts, F.lit('"'))
+    by_kind = {
+        "bool": number(F.col("p_size") > 25),
+        "datetime": text(F.lit("2024-06-01 10:00:"), F.lpad(number(key % 60), 2, "0")),
+        "dynamic": text(F.lit(r"{\"size\":"), number(F.col("p_size")), F.lit("}")),
+        "int": number(key),
+        "real": number(F.col("p_retailprice")),
+        "string": text(F.col("p_brand")),
+        "timespan": text(number(F.col("p_size")), F.lit("m")),
+    }
+    values = F.array(*[by_kind[kind] for kind in CHECKED_KINDS])
+    members = []
+    for i in range(MANY_COLUMNS):
+        value = F.get(values, _kind_number(n, i).cast("int"))
+        if i == 0:
+            value = F.when(key % 5 == 0, F.lit("[]")).otherwise(value)
+        member = F.concat(F.lit('"c'), number(n), F.lit(f'_{i}":'), value)
+        members.append(F.when(key % 7 != 0, member) if i == MANY_COLUMNS - 1 else member)
+    envelope = F.concat(F.lit('{"part-'), number(n), F.lit('":{'), F.concat_ws(",", *members), F.lit("}}"))
+    return with_ingest_time(pack_bodies(parts.select(key.cast("bigint").alias("seq"), envelope.alias("envelope")), BATCH_SIZE))

@@ -260,6 +260,17 @@ FROM events JOIN {_MINUTES} USING (event_type)""",
     "segments_anchored_tree": _CHAIN,
     "segments_anchored_by_type": _CHAIN_COUNTS,
     "stream_rotation": _CHAIN_COUNTS,
+    "close_segment_under_readers": _events(
+        "SELECT count(*) AS rows, sum(event_id)::BIGINT AS ids, max(ingest_time) AS last, 1 AS closers_that_won FROM good"
+    ),
+    "time_range_of_many_loads": _events("""
+SELECT * EXCLUDE (batch_id, pos) FROM good
+WHERE ingest_time >= TIMESTAMP '2024-06-01 00:00:05' AND ingest_time < TIMESTAMP '2024-06-01 00:00:15'"""),
+    "many_types": """
+SELECT 'part-' || (p_partkey % 200) AS type_name, count(*) AS items,
+  count(*) FILTER (NOT (p_partkey % 5 = 0 OR (p_partkey % 7 = 0 AND p_partkey % 2 = 0))) AS accepted,
+  (count(*) FILTER (p_partkey % 5 = 0) + count(*) FILTER (p_partkey % 7 = 0 AND p_partkey % 2 = 0))::BIGINT AS faults
+FROM part GROUP BY 1""",
     "close_segment": _events("SELECT ingest_time, event_id, value, dur FROM good"),
     "lint_definitions_verdicts": f"""
 SELECT p_partkey AS seq, {_DEFINITION_NAME} AS name,

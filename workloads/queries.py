@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from telemill.operators.lint import (
     read_sidecars,
     sidecars,
 )
+from telemill.operators.validation import is_accepted
 from telemill.operators.segments import assign_aligned, assign_anchored
 from telemill.plans.ingest import ingest_batch
 from telemill.plans.store import read_quarantine, store_batch
@@ -428,6 +430,54 @@ def close_segment(spark, sf_dir):
     return scan_definition(spark, root, fx.USER_EVENT).select("ingest_time", "event_id", "value", "dur")
 
 
+@query
+def close_segment_under_readers(spark, sf_dir):
+    """Two closers race while readers go on: one wins, and every reader has all rows once, whenever it planned and ran."""
+    root = scratch_dir(spark, "rotate")
+    rows = _events_table(spark, sf_dir).df
+    prepare_tables(spark, root, [fx.USER_EVENT])
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for k in range(3):
+        telemill.write_table(rows.where(third == k), root, fx.USER_EVENT, f"open{k}")
+
+    def plan() -> DataFrame:
+        return scan_definition(spark, root, fx.USER_EVENT).agg(
+            F.count("*").alias("rows"), F.sum("event_id").alias("ids"), F.max("ingest_time").alias("last")
+        )
+
+    early = plan()
+    with ThreadPoolExecutor(2) as pool:
+        closers = [pool.submit(telemill.close_segment, spark, root, fx.USER_EVENT) for _ in range(2)]
+        seen = [plan().first()]
+        while not all(c.done() for c in closers):
+            seen.append(plan().first())
+    won = sum(c.result() is not None for c in closers)
+    seen += [plan().first(), early.first()]
+    different = sorted({(r.rows, r.ids, r.last, won) for r in seen})
+    return spark.createDataFrame(different, "rows bigint, ids bigint, last timestamp_ntz, closers_that_won int")
+
+
+@query
+def time_range_of_many_loads(spark, sf_dir):
+    """A period of a table of very many loads: only the files that can hold it are opened, as their zones tell."""
+    root = scratch_dir(spark, "loads")
+    rows = _events_table(spark, sf_dir).df
+    prepare_tables(spark, root, [fx.USER_EVENT])
+    loads = telemill.write_loads(rows, root, fx.USER_EVENT, F.concat_ws("-", F.date_format("ingest_time", "HHmmss"), F.col("event_id") % 5))
+    found = telemill.scan_table(spark, root, fx.USER_EVENT.name, "2024-06-01 00:00:05", "2024-06-01 00:00:15")
+    assert len(found.inputFiles()) <= 50 < len(loads)
+    return found
+
+
+@query
+def many_types(spark, sf_dir):
+    """All parts as items of 200 types of 8 columns, checked in one pass."""
+    checked = ingest_batch(fx.many_type_bodies(spark, sf_dir), fx.many_types()).checked
+    return checked.groupBy("type_name").agg(
+        F.count("*").alias("items"), F.count_if(is_accepted()).alias("accepted"), F.sum(F.size("errors")).alias("faults")
+    )
+
+
 # --- definitions as data -------------------------------------------------------------
 
 
