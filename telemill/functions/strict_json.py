@@ -19,8 +19,8 @@ _STRICT = {
     "allowNumericLeadingZeros": "false",
     "allowUnquotedControlChars": "false",
     "allowBackslashEscapingAnyCharacter": "false",
-    # As long as a text can be. The depth keeps the parser's limit of 1,000: copying a
-    # VARIANT of depth 1,500 overflows the JVM's stack, which ends the executor.
+    # As long as a text can be. A VARIANT keeps the parser's limit of 1,000 levels: copying one of
+    # depth 1,500 overflows the JVM's stack, which ends the executor. See ``raw_elements``.
     "maxStringLen": str(2**31 - 1),
     "maxNumLen": str(2**31 - 1),
 }
@@ -55,6 +55,52 @@ def marked_array(text: Column) -> Column:
     return _marked_elements(F.when(F.endswith(trimmed, F.lit("]")), F.concat(opened, F.lit(f',"{_MARKER}"]'))))
 
 
+# Objects without declared members are skipped over, not built up, so their depth needs no stack.
+_DEEP = {**_STRICT, "maxNestingDepth": str(2**31 - 1)}
+_TOKENS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},]|[^"\[\]{},]++'
+_ONLY_VALUE = r'(?s)\A\{[ \t\r\n]*+"[^"\\]*+(?:\\.[^"\\]*+)*+"[ \t\r\n]*+:[ \t\r\n]*+(.*?)[ \t\r\n]*\}\z'
+
+
+def is_array_of_objects(text: Column) -> Column:
+    """Whether a text is one JSON array of objects and nulls, however deep its values are nested."""
+    trimmed = F.rtrim(text, F.lit(_WHITESPACE))
+    opened = F.substring(trimmed.cast("binary"), F.lit(1), F.octet_length(trimmed) - 1).cast("string")
+    marked = F.when(F.endswith(trimmed, F.lit("]")), F.concat(opened, F.lit(f',{{"{_MARKER}":1}}]')))
+    elements = F.from_json(marked, f"array<struct<`{_MARKER}`:int>>", _DEEP)
+    return F.coalesce(F.try_element_at(elements, F.lit(-1))[_MARKER] == 1, F.lit(False))
+
+
+def raw_elements(text: Column) -> Column:
+    """What stands between the outermost commas of a JSON array or object, as it is written.
+
+    The text must be valid JSON; it is cut by counting brackets, so its depth does not matter.
+    """
+    tokens = F.regexp_extract_all(F.trim(text, F.lit(_WHITESPACE)), F.lit(_TOKENS), F.lit(0))
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(2).alias("first"),
+        F.array().cast("array<struct<first:int,size:int>>").alias("cuts"),
+    )
+
+    def step(state: Column, token: Column) -> Column:
+        change = F.when(token.isin("[", "{"), 1).when(token.isin("]", "}"), -1).otherwise(0)
+        depth, at = state["depth"] + change, state["at"] + 1
+        ends = (state["depth"] == 1) & ((token == ",") | (depth == 0))
+        cut = F.struct(state["first"].alias("first"), (at - state["first"]).alias("size"))
+        return F.struct(
+            depth.alias("depth"), at.alias("at"), F.when(ends, at + 1).otherwise(state["first"]).alias("first"),
+            F.when(ends, F.concat(state["cuts"], F.array(cut))).otherwise(state["cuts"]).alias("cuts"),
+        )
+
+    cuts = F.aggregate(tokens, start, step, lambda state: state["cuts"])
+    part = lambda cut: F.array_join(F.slice(tokens, cut["first"], cut["size"]), "")
+    return F.transform(cuts, lambda cut: F.trim(part(cut), F.lit(_WHITESPACE)))
+
+
+def only_value(text: Column) -> Column:
+    """The value of an object that has one member, as it is written."""
+    return F.regexp_extract(text, _ONLY_VALUE, 1)
+
+
 def is_empty_array(text: Column) -> Column:
     return text.rlike(r"\A[ \t\r\n]*(?:null|\[[ \t\r\n]*\])[ \t\r\n]*\z")
 

@@ -10,10 +10,14 @@ from telemill.definitions import kind_of
 from telemill.functions.errors import clip
 from telemill.functions.strict_json import (
     ends_with_marker,
+    is_array_of_objects,
     is_empty_array,
     is_object,
     marked_array,
     object_fields,
+    only_value,
+    parse_strict,
+    raw_elements,
 )
 from telemill.functions.timespan import format_timespan
 from telemill.session import floor_div, quoted, settle
@@ -32,27 +36,37 @@ def split_envelopes(bodies: DataFrame) -> DataFrame:
     * ``type_name``, ``data`` (VARIANT): of an item
     * ``code``, ``value``: of an error
 
-    Each body is parsed once; the step is narrow (no shuffle).
+    Each body is parsed once; the step is narrow (no shuffle). Only a body that is right but cannot be parsed as a whole is
+    cut up first, so that a value nested too deep (over 1,000 levels) is an error of its own item and not of its neighbours.
     """
     carried = [quoted(c) for c in bodies.columns if c != "body"]
     body = F.coalesce(F.col("body"), F.lit(""))
 
-    parsed = bodies.select(*carried, F.col("body"), marked_array(body).alias("__marked"))
+    whole = bodies.select(*carried, F.col("body"), marked_array(body).alias("__marked"))
+    complete = F.coalesce(ends_with_marker(F.col("__marked")), F.lit(False))
+    parsed = whole.select(*carried, F.col("body"), F.col("__marked"), complete.alias("__complete"))
+    too_deep = ~F.col("__complete") & ~F.coalesce(is_empty_array(body), F.lit(False)) & is_array_of_objects(body)
+    parsed = parsed.select("*", F.when(too_deep, raw_elements(body)).alias("__apart"))
     elements = F.slice(F.col("__marked"), F.lit(1), F.size("__marked") - 1)
     # One element that is neither an object nor null spoils the whole body.
     all_items = F.forall(elements, lambda e: F.is_variant_null(e) | is_object(e))
-    fault = F.when(~F.coalesce(ends_with_marker(F.col("__marked")) & all_items, F.lit(False)),
-                   F.when(is_empty_array(body), F.lit(EMPTY_BODY)).otherwise(F.lit(BODY_ERROR)))
-    faulted = parsed.select(*carried, F.col("body"), F.col("__marked"), fault.alias("__fault"))
+    usable_body = F.when(F.col("__complete"), F.coalesce(all_items, F.lit(False))).otherwise(F.col("__apart").isNotNull())
+    fault = F.when(~usable_body, F.when(is_empty_array(body), F.lit(EMPTY_BODY)).otherwise(F.lit(BODY_ERROR)))
+    faulted = parsed.select("*", fault.alias("__fault"))
+    each = F.transform("__apart", parse_strict)
     judged = faulted.select(
         *carried,
         F.col("__fault"),
-        F.when(F.col("__fault").isNull(), elements).alias("__elements"),
+        F.col("__apart"),
+        F.when(F.col("__fault").isNull(), F.when(F.col("__complete"), elements).otherwise(each)).alias("__elements"),
         F.when(F.col("__fault") == BODY_ERROR, clip(body)).alias("__head"),
     )
     rows = judged.select(
-        *carried, "__fault", "__head", F.posexplode_outer("__elements").alias("__pos", "__element")
-    ).withColumn("__envelope", object_fields(F.col("__element")))
+        *carried, "__fault", "__head", "__apart", F.posexplode_outer("__elements").alias("__pos", "__element")
+    )
+    # An element that could be told apart, but not be parsed.
+    raw = F.when(F.col("__element").isNull(), F.get("__apart", F.col("__pos")))
+    rows = rows.withColumn("__raw", raw).withColumn("__envelope", object_fields(F.col("__element")))
 
     one_key = F.coalesce(F.size("__envelope") == 1, F.lit(False))
     type_name = F.get(F.map_keys("__envelope"), F.lit(0))
@@ -63,6 +77,7 @@ def split_envelopes(bodies: DataFrame) -> DataFrame:
         "__fault",
         "__head",
         "__element",
+        "__raw",
         F.when(F.col("__fault").isNull() & one_key, type_name).alias("__type"),
         F.when(one_key, data).alias("__data"),
     )
@@ -72,13 +87,16 @@ def split_envelopes(bodies: DataFrame) -> DataFrame:
         .when(F.col("__type").isNotNull() & usable, F.lit(ITEM))
         .otherwise(F.lit(SPLIT_ERROR))
     )
+    one_raw = F.col("__raw").isNotNull() & (F.size(raw_elements(F.col("__raw"))) == 1)
     code = (
         F.when(F.col("__fault") == BODY_ERROR, F.lit("invalid_json_array"))
+        .when(one_raw, F.lit("item_data_parsing_failed"))
         .when(F.col("__fault").isNull() & F.col("__type").isNull(), F.lit("invalid_item_structure"))
         .when(F.col("__fault").isNull() & ~usable, F.lit("item_data_parsing_failed"))
     )
     value = F.coalesce(
         F.col("__head"),
+        F.when(one_raw, only_value(F.col("__raw"))).otherwise(F.col("__raw")),
         F.when(F.col("__fault").isNull() & F.col("__type").isNull(), F.to_json("__element")).when(
             F.col("__fault").isNull() & ~usable, F.to_json("__data")
         ),

@@ -142,7 +142,41 @@ def test_odd_values_leave_their_neighbours_alone(spark):
         assert sorted(r.value for r in result.accepted("querytest").collect()) == [1, 2]
 
 
-def test_nesting_beyond_the_limit_rejects_the_body(spark):
+def test_nesting_beyond_the_limit_rejects_the_item(spark):
     body = f'[{{"querytest":{{"label":"x","value":2,"extra":{deep(1500)}}}}}]'
     result = telemill.ingest_batch(bodies(spark, body), [QUERY_TEST], "2024-06-01 10:00:00")
-    assert [r.code for r in result.checked.select(F.col("errors")[0]["code"].alias("code")).collect()] == ["invalid_json_array"]
+    assert [r.code for r in result.checked.select(F.col("errors")[0]["code"].alias("code")).collect()] == ["item_data_parsing_failed"]
+
+
+def nested(depth):
+    return "[" * depth + "1" + "]" * depth
+
+
+def test_only_the_item_that_is_too_deep_is_rejected(spark):
+    deep, fine, number = nested(1500), nested(900), "1" * 1200
+    body = (
+        f'[{{"a":{{"x":{fine}}}}}, {{"b" : {{"x":{deep}}} }}, null, {{"c":{{"s":"}}], {{\\"q\\": [1}}","n":{number}}}}}, '
+        f'{{"d":"{{\\"x\\":1}}"}}, {{"e":{{}},"f":{deep}}}, {{"g":null}}] \n'
+    )
+    rows = sorted(split_envelopes(bodies(spark, body)).collect(), key=lambda r: r.pos)
+    assert [(r.pos, r.kind, r.type_name, r.code) for r in rows] == [
+        (0, "item", "a", None),
+        (1, "split_error", None, "item_data_parsing_failed"),
+        (2, "split_error", None, "invalid_item_structure"),
+        (3, "item", "c", None),
+        (4, "split_error", None, "item_data_parsing_failed"),
+        (5, "split_error", None, "invalid_item_structure"),
+        (6, "item", "g", None),
+    ]
+    assert rows[1].value.startswith('{"x":[[[[') and rows[5].value.startswith('{"e":{},"f":[[')
+    short = split_envelopes(bodies(spark, body.replace(deep, "[1]"))).collect()
+    by_place = {r.pos: (r.kind, r.type_name, r.code, r.value) for r in short}
+    assert all(by_place[r.pos] == (r.kind, r.type_name, r.code, r.value) for r in rows if r.pos not in (1, 5))
+
+
+def test_deep_bodies_that_are_not_arrays_of_objects(spark):
+    deep = nested(1200)
+    texts = [f'[{{"a":{{}}}}, {deep}]', f'[{{"a":{{"x":{deep}}}}}, "b"]', f'[{{"a":{deep}}}] x', f'{{"a":{deep}}}', f'[{{"a":{deep}}}', f"[{deep}]"]
+    for text in texts:
+        row = split_envelopes(bodies(spark, text)).collect()
+        assert [(r.kind, r.code) for r in row] == [("body_error", "invalid_json_array")], text[:40]

@@ -399,3 +399,19 @@ def many_type_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         members.append(F.when(key % 7 != 0, member) if i == MANY_COLUMNS - 1 else member)
     envelope = F.concat(F.lit('{"part-'), number(n), F.lit('":{'), F.concat_ws(",", *members), F.lit("}}"))
     return with_ingest_time(pack_bodies(parts.select(key.cast("bigint").alias("seq"), envelope.alias("envelope")), BATCH_SIZE))
+
+
+# --- deep and long values ------------------------------------------------------------
+
+
+def deep_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as an item; by number some carry a value of depth 1,500 or 900, or a number of 1,200 digits."""
+    customers, m = table(spark, sf_dir, "customer"), F.col("c_custkey") % 40
+    nested = lambda depth: F.lit(',"extra":' + "[" * depth + "1" + "]" * depth)
+    extra = F.when(m == 0, nested(1500)).when(m == 1, nested(900)).when(m == 2, F.lit(',"extra":' + "7" * 1200)).otherwise("")
+    envelope = F.concat(
+        F.lit('{"customer-seen":{"c_custkey":'), F.when(m == 3, F.lit("9" * 1200)).otherwise(F.col("c_custkey").cast("string")),
+        F.lit(',"c_name":"'), F.col("c_name"), F.lit('","c_acctbal":'), F.col("c_acctbal").cast("string"), extra, F.lit("}}"),
+    )
+    rows = customers.select(F.col("c_custkey").cast("bigint").alias("seq"), envelope.alias("envelope"))
+    return with_ingest_time(pack_bodies(rows, BATCH_SIZE))

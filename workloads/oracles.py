@@ -266,6 +266,15 @@ FROM events JOIN {_MINUTES} USING (event_type)""",
     "time_range_of_many_loads": _events("""
 SELECT * EXCLUDE (batch_id, pos) FROM good
 WHERE ingest_time >= TIMESTAMP '2024-06-01 00:00:05' AND ingest_time < TIMESTAMP '2024-06-01 00:00:15'"""),
+    "deep_and_long_values": """
+WITH placed AS (
+  SELECT c_custkey % 40 AS m, c_custkey::BIGINT AS no,
+    c_custkey // 50 * 50 + row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS place
+  FROM customer
+)
+SELECT CASE m WHEN 0 THEN 'item_data_parsing_failed' WHEN 3 THEN 'invalid_field_type' ELSE 'accepted' END AS verdict,
+  CASE WHEN m IN (0, 3) THEN place ELSE no END AS no
+FROM placed""",
     "many_types": """
 SELECT 'part-' || (p_partkey % 200) AS type_name, count(*) AS items,
   count(*) FILTER (NOT (p_partkey % 5 = 0 OR (p_partkey % 7 = 0 AND p_partkey % 2 = 0))) AS accepted,

@@ -478,6 +478,17 @@ def many_types(spark, sf_dir):
     )
 
 
+@query
+def deep_and_long_values(spark, sf_dir):
+    """Items that are nested too deep or hold too long a number are rejected alone; their neighbours are accepted."""
+    result = ingest_batch(fx.deep_bodies(spark, sf_dir), [fx.CUSTOMER])
+    fine = result.accepted(fx.CUSTOMER.name).select(F.lit("accepted").alias("verdict"), F.col("c_custkey").alias("no"))
+    wrong = result.checked.where(F.size("errors") > 0).select(
+        F.get("errors", F.lit(0))["code"].alias("verdict"), (F.col("batch_id").cast("bigint") * fx.BATCH_SIZE + F.col("pos")).alias("no")
+    )
+    return fine.unionByName(wrong)
+
+
 # --- definitions as data -------------------------------------------------------------
 
 
