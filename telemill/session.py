@@ -233,6 +233,11 @@ def create_text(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it is not there."""
     fs, p = _path(spark, path)

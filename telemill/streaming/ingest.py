@@ -19,9 +19,10 @@ from telemill.operators.accounts import ACCOUNT_TYPES
 from telemill.operators.segments import MINUTE_MS, assign_anchored
 from telemill.plans.ingest import ingest_batch, utc_now
 from telemill.plans.store import PARALLEL_WRITES, store_result
-from telemill.session import configure_session, path_exists, read_text, write_text
+from telemill.session import configure_session, make_folder, path_exists, read_text, write_text
 from telemill.sources.sinks import close_segment, is_closed, prepare_tables, stream_load, write_table
 from telemill.sources.tables import table_path
+from telemill.streaming.timers import STARTED, STATE_STORE, due_types
 
 EPOCHS = "_epochs"
 SEGMENTS = "segments.json"
@@ -36,7 +37,7 @@ class StreamIngest:
     failing store can be tried out; ``clock`` gives an epoch's ingest time, as UTC text.
 
     With ``rotate``, a type's open loads become a closed segment with the first epoch that is its latency or
-    more after the epoch its segment began with.
+    more after the epoch its segment began with; ``start_timers`` does so too where no further epoch comes.
     """
 
     spark: SparkSession
@@ -101,6 +102,43 @@ class StreamIngest:
             list(pool.map(lambda t: close_segment(self.spark, self.root, t, leave=[self._load(epoch)]), old))
         return {name: start for name, start in running.items() if name not in {t.name for t in old}}
 
+    def _started_path(self) -> str:
+        return f"{self.root}/{EPOCHS}/{self.name}/{self._identity}/started"
+
+    def _note_started(self, before: dict[str, int], after: dict[str, int], epoch: int, types: list[ItemDefinition]) -> None:
+        """When the segments that began with this epoch are due, for the timers."""
+        lines = [
+            json.dumps({"type_name": t.name, "due": after[t.name] + t.segment_minutes * MINUTE_MS, "definition": t.to_json()})
+            for t in types
+            if t.name in after and after[t.name] != before.get(t.name)
+        ]
+        if lines:
+            write_text(self.spark, f"{self._started_path()}/{epoch:012d}.json", "\n".join(lines) + "\n")
+
+    def start_timers(self, checkpoint: str, every: str = "1 second") -> StreamingQuery:
+        """A second query, beside a started one, that closes the segments of types from which nothing comes any more.
+
+        Each type has a timer on the executors; a segment is closed when its latency has passed, whether
+        an epoch of the stream comes or not. Both may find the same segment due: one of them closes it. The query keeps its state
+        in RocksDB.
+        """
+        make_folder(self.spark, self._started_path())
+        started = self.spark.readStream.schema(STARTED).json(self._started_path())
+
+        def close(due: DataFrame, _: int) -> None:
+            for row in due.collect():  # one row a type
+                close_segment(self.spark, self.root, ItemDefinition.from_json(row.definition))
+
+        settings = {key: self.spark.conf.get(key, None) for key in STATE_STORE}
+        for key, value in STATE_STORE.items():
+            self.spark.conf.set(key, value)
+        try:
+            writer = due_types(started).writeStream.queryName(f"{self.name}-timers").outputMode("update")
+            return writer.option("checkpointLocation", checkpoint).foreachBatch(close).trigger(processingTime=every).start()
+        finally:
+            for key, value in settings.items():
+                self.spark.conf.set(key, value) if value is not None else self.spark.conf.unset(key)
+
     def _store(self, definition: ItemDefinition, rows: DataFrame, epoch: int) -> str | None:
         path = table_path(self.root, definition.folder, definition.name)
         load = self._load(epoch)
@@ -138,6 +176,7 @@ class StreamIngest:
                 put,
             )
             if self.rotate:
+                self._note_started(before, after, epoch, [*definitions, *ACCOUNT_TYPES])
                 state = {"epoch": epoch, "before": before, "after": after}
                 write_text(self.spark, self._segments_path(), json.dumps(state))
         finally:

@@ -1,4 +1,7 @@
+import dataclasses
+import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from telemill.plans.store import read_quarantine
 from telemill.session import write_text
 from tests.types import ALPHA, BETA, QUERY_TEST
 
+ALPHA_LATER = dataclasses.replace(ALPHA, latency_minutes=60)
 GOOD = {"querytest": {"label": "x", "value": 1}}
 WRONG = {"querytest": {"label": "x", "value": "no"}}
 
@@ -142,3 +146,31 @@ def test_failed_write_is_on_record(spark, places):
     assert "disk full" in failure[0].errorMsg
     run(spark, StreamIngest(spark, places["root"], "s", lambda: [QUERY_TEST]), places)
     assert telemill.scan_table(spark, places["root"], "querytest").count() == 3
+
+
+def test_a_quiet_type_is_closed_by_its_timer(spark, places):
+    """No further epoch comes; BETA's two minutes have passed, the accounts' hours have not."""
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    times = [now - dt.timedelta(minutes=3), now - dt.timedelta(minutes=2, seconds=30)]
+    stream = StreamIngest(spark, places["root"], "s", lambda: [ALPHA_LATER, BETA], clock=lambda: str(times.pop(0))[:23])
+    beta = {"beta": {"betaStr": "b", "betaBool": True, "betaReal": 1.5}}
+    for epoch in range(2):
+        stream.process(spark.createDataFrame([(json.dumps([beta, {"alpha": {"alphaStr": "a", "alphaInt": 1, "alphaDate": "2024-06-01 00:00:00"}}]),)], "body string"), epoch)
+    before = scan_state(spark, places["root"])
+    timers = stream.start_timers(places["checkpoint"], "500 milliseconds")
+    try:
+        end = time.monotonic() + 90
+        while scan_state(spark, places["root"])["beta"] != ["closed"] * 2 and time.monotonic() < end and timers.isActive:
+            time.sleep(0.5)
+    finally:
+        timers.stop()
+    assert before == {"alpha": ["open"] * 2, "beta": ["open"] * 2}
+    assert scan_state(spark, places["root"]) == {"alpha": ["open"] * 2, "beta": ["closed"] * 2}
+
+
+def scan_state(spark, root):
+    found = {}
+    for name in ("alpha", "beta"):
+        rows = telemill.scan_table(spark, root, name).select(F.input_file_name().alias("f")).collect()
+        found[name] = sorted("closed" if "closed-" in r.f else "open" for r in rows)
+    return found

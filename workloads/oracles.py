@@ -354,6 +354,9 @@ UNION ALL SELECT 'customer-seen', count(*), 3 FROM customer"""),
 SELECT CASE WHEN batch_id % 3 = 2 THEN 'open' ELSE 'closed' END AS state, count(*) AS n, min(event_id) AS first,
        max(event_id) AS last, count(DISTINCT batch_id % 3) AS epochs
 FROM good GROUP BY 1"""),
+    "stream_quiet_type": _events("""
+SELECT 'user-event' AS type_name, 'closed' AS state, count(*) AS n FROM good
+UNION ALL SELECT 'order-placed', 'open', count(*) FROM orders"""),
     "stream_write_failure": _events("""
 SELECT 'order-placed' AS itemType, 'flush' AS operation, CAST(1 AS BIGINT) AS count_
 UNION ALL SELECT 'user-event', 'stored', count(*) FROM good

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -635,6 +637,34 @@ def stream_rotated_tables(spark, sf_dir):
     )
 
 
+@query
+def stream_quiet_type(spark, sf_dir):
+    """A type from which nothing comes any more is closed by its timer once its latency has passed, another one is not yet."""
+    root, now = scratch_dir(spark, "stream"), datetime.now(timezone.utc).replace(tzinfo=None)
+    stream = telemill.StreamIngest(
+        spark, root, "mixed", lambda: [fx.USER_EVENT, fx.ORDER], clock=lambda: str(now - timedelta(minutes=3))[:23]
+    )
+    source = telemill.stream_batches(spark, _body_files(spark, sf_dir, mixed_bodies(spark, sf_dir), 1))
+    stream.start(source, scratch_dir(spark, "checkpoint"), every=None).awaitTermination()
+
+    def state() -> DataFrame:
+        kinds = [
+            scan_definition(spark, root, d).select(
+                F.lit(d.name).alias("type_name"),
+                F.when(F.input_file_name().contains("=closed-"), "closed").otherwise("open").alias("state"),
+            )
+            for d in (fx.USER_EVENT, fx.ORDER)
+        ]
+        return kinds[0].unionByName(kinds[1]).groupBy("type_name", "state").agg(F.count("*").alias("n"))
+
+    timers = stream.start_timers(scratch_dir(spark, "timers"), "500 milliseconds")
+    end = time.monotonic() + 120
+    while timers.isActive and time.monotonic() < end and not state().where("state = 'closed'").head(1):
+        time.sleep(0.5)
+    timers.stop()
+    return state()
+
+
 @query
 def stream_write_failure(spark, sf_dir):
     """A store that fails once: the failure is on record, and nothing is lost or doubled."""
