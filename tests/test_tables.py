@@ -363,6 +363,23 @@ def test_read_batches(spark, tmp_path):
     assert telemill.split_envelopes(whole).first().kind == "item"
 
 
+def test_batch_ids_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, end in (("a b", "\n"), ("c", "\r\n"), ("empty", "")):
+        (tmp_path / "in" / f"{name}.txt").write_bytes("".join(f"{name} {'x' * (n % 37)}{n}{end}" for n in range(500) if end).encode())
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("100", "777", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = telemill.read_batches(spark, str(tmp_path / "in"))
+        found.append(sorted(map(tuple, rows.collect())))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1000
+    for batch_id, body in found[0]:
+        path, number = batch_id.rsplit(":", 1)
+        assert body.split()[-1].lstrip("x") == number and path.endswith("c.txt" if body[0] == "c" else "a%20b.txt")
+
+
 def test_ingest_time_column_comes_first_and_is_cut(spark):
     df = bodies(spark, BODY).withColumn("ingest_time", F.lit(dt.datetime(2024, 6, 1, 1, 2, 3, 456789)).cast("timestamp_ntz"))
     row = telemill.ingest_batch(df, [QUERY_TEST]).accepted("querytest").first()

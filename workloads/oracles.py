@@ -130,6 +130,10 @@ ORACLES: dict[str, str] = {
         "SELECT items, count(*) AS batches FROM (SELECT batch_id, count(*) FILTER (m NOT IN (9, 10)) AS items "
         "FROM ev GROUP BY batch_id) GROUP BY items"
     ),
+    "read_batches_ids": _events(
+        "SELECT batch_id % 4 AS file, row_number() OVER (PARTITION BY batch_id % 4 ORDER BY batch_id) - 1 AS line "
+        "FROM (SELECT DISTINCT batch_id FROM ev)"
+    ),
     "split_envelopes_items": _events(
         "SELECT batch_id, pos, CASE WHEN m = 0 THEN 'ghost-event' ELSE 'user-event' END AS type_name, event_id "
         "FROM ev WHERE m NOT IN (9, 10)"

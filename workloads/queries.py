@@ -106,6 +106,30 @@ def read_batches(spark, sf_dir):
     return sizes.groupBy("items").agg(F.count("*").alias("batches"))
 
 
+@query
+def read_batches_ids(spark, sf_dir):
+    """Line numbers of bodies in files of lines, read with small splits and with large ones: each body has one id."""
+    path = scratch_dir(spark, "bodies")
+    bodies = fx.event_bodies(spark, sf_dir).select("body", "batch_id", F.pmod("batch_id", F.lit(4)).alias("file"))
+    sorted_ = bodies.repartition(4, "file").sortWithinPartitions("batch_id").drop("batch_id")
+    sorted_.write.partitionBy("file").text(path)
+    size = "spark.sql.files.maxPartitionBytes"
+    before, found = spark.conf.get(size), []
+    try:
+        for k, split in enumerate(("4096", before)):
+            spark.conf.set(size, split)
+            rows = telemill.read_batches(spark, path).select("batch_id", F.length("body").alias("size"))
+            rows.write.parquet(f"{path}-{k}")
+            found.append(spark.read.parquet(f"{path}-{k}"))
+    finally:
+        spark.conf.set(size, before)
+    both = found[0].unionByName(found[1]).distinct()
+    return both.select(
+        F.regexp_extract("batch_id", "file=([0-9])/", 1).cast("bigint").alias("file"),
+        F.regexp_extract("batch_id", ":([0-9]+)$", 1).cast("bigint").alias("line"),
+    )
+
+
 @query
 def split_envelopes_items(spark, sf_dir):
     items = split_envelopes(fx.event_bodies(spark, sf_dir)).where("kind = 'item'")
