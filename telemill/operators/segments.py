@@ -61,7 +61,11 @@ def _minutes_column(minutes: int | Mapping[str, int], type_col: str | None) -> C
 
 
 def assign_aligned(
-    df: DataFrame, minutes: int | Mapping[str, int], time_col: str = "ingest_time", type_col: str | None = None
+    df: DataFrame,
+    minutes: int | Mapping[str, int],
+    time_col: str = "ingest_time",
+    type_col: str | None = None,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Add ``segment``, the name of the row's aligned segment.
 
@@ -71,7 +75,7 @@ def assign_aligned(
     keys = ([type_col] if type_col else []) + ["__window"]
     windowed = df.withColumn("__window", aligned_window(quoted(time_col), _minutes_column(minutes, type_col)))
     firsts = windowed.groupBy(*[quoted(k) for k in keys]).agg(segment_name(F.min(quoted(time_col))).alias("segment"))
-    joined = join_lookup(windowed, cut_lineage(firsts, "segments"), keys)
+    joined = join_lookup(windowed, cut_lineage(firsts, "segments"), keys, broadcast_rows)
     return joined.select(*[quoted(c) for c in df.columns], "segment")
 
 

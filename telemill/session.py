@@ -113,25 +113,52 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
 
 # --- joins against lookup tables ---------------------------------------------
 
-# Lookup rows here are a few dozen bytes wide, so this stays far below the
-# executor memory a broadcast may take.
 BROADCAST_ROWS = 200_000
-SALTS = 32
+BROADCAST_BYTES = 64 * 1024 * 1024
+HEAVY_KEYS = 1000  # busiest keys that are looked at
+PARTS_PER_TASK = 16  # parts that a busy key's rows are cut into, for each task's share of rows it holds
 
 
-def join_lookup(big: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+def _fits_broadcast(lookup: DataFrame, rows: int) -> bool:
+    """Whether a lookup has few enough rows, and bytes: 8 for each column, and the length of its texts."""
+    texts = [F.octet_length(quoted(f.name)) for f in lookup.schema if f.dataType.typeName() in ("string", "binary")]
+    width = F.lit(8 * len(lookup.columns))
+    for text in texts:
+        width = width + F.coalesce(text, F.lit(0))
+    found = lookup.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("bytes")).first()
+    return found.rows <= rows and found.bytes <= BROADCAST_BYTES
+
+
+def heavy_keys(big: DataFrame, keys: list[str], tasks: int) -> dict[int, int]:
+    """Of the busiest keys, by a hash of theirs, the number of parts that makes each no burden for one of so many tasks.
+
+    They are found in one pass by a sketch, which tasks fill by themselves and which is merged.
+    """
+    key = big.select(F.xxhash64(*[quoted(c) for c in keys]).alias("key"))
+    sketch = F.call_function("approx_top_k", F.col("key"), F.lit(HEAVY_KEYS), F.lit(10 * HEAVY_KEYS))
+    total, busiest = key.agg(F.count("*"), sketch).first()
+    share = max(1, total // (tasks * PARTS_PER_TASK))
+    return {row["item"]: -(-row["count"] // share) for row in busiest or [] if row["count"] > share}
+
+
+def join_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], broadcast_rows: int | None = None) -> DataFrame:
     """Left-join ``lookup`` (unique on ``keys``) to ``big`` without a hot task.
 
-    The lookup is counted first. Up to ``BROADCAST_ROWS`` rows it is broadcast
-    and ``big`` is not shuffled at all. Beyond that each lookup row is repeated
-    once per salt, and the rows of one key of ``big`` spread over ``SALTS`` tasks.
+    The lookup is measured first. Up to ``broadcast_rows`` rows (``BROADCAST_ROWS``) and ``BROADCAST_BYTES`` it is broadcast
+    and ``big`` is not shuffled at all. Beyond that a sketch finds the busy keys of ``big``. Only those are
+    cut up: their lookup rows are repeated once per part, as many parts as their rows ask for.
     """
-    if lookup.count() <= BROADCAST_ROWS:
+    if _fits_broadcast(lookup, BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
         return big.join(F.broadcast(lookup), keys, "left")
+    parts = heavy_keys(big, keys, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not parts:
+        return big.join(lookup, keys, "left")
+    counts = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+    of_key = F.coalesce(counts[F.xxhash64(*[quoted(c) for c in keys])], F.lit(1))
     payload = [f.name for f in big.schema if f.name not in keys and isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
-    salt = F.pmod(F.xxhash64(*[quoted(c) for c in payload or keys]), F.lit(SALTS)).cast("int")
-    salted = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("__salt", salt).join(salted, [*keys, "__salt"], "left").drop("__salt")
+    part = F.pmod(F.xxhash64(*[quoted(c) for c in payload or keys]), of_key).cast("int")
+    cut = lookup.withColumn("__part", F.explode(F.sequence(F.lit(0), (of_key - 1).cast("int"))))
+    return big.withColumn("__part", part).join(cut, [*keys, "__part"], "left").drop("__part")
 
 
 # --- control files -------------------------------------------------------------

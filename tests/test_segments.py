@@ -117,3 +117,25 @@ def test_empty_input(spark):
     assert anchored_starts(df.select("type_name", "ms"), MINUTES).count() == 0
     assert assign_aligned(df, 5, "at").count() == 0
     assert assign_anchored(df, MINUTES, "at", "type_name").where(F.col("segment").isNull()).count() == 0
+
+
+def test_a_busy_window_is_no_burden_for_one_task(spark):
+    """Nine rows of ten are in one window, and the names of windows are too many to broadcast."""
+    base = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    number = F.col("id")
+    late = F.when(number % 10 == 0, number * 60).otherwise(number % 50)
+    rows = spark.range(0, 200_000, 1, 8).select("id", (base + F.make_dt_interval(secs=late.cast("decimal(18,6)"))).alias("ingest_time"))
+    expected = assign_aligned(rows, 1)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        found = assign_aligned(rows, 1, broadcast_rows=0)
+        tasks = sorted(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect())
+        assert len(tasks) == 8 and sum(tasks) == 200_000
+        assert tasks[-1] < 2 * (tasks[3] + tasks[4]) / 2
+        assert found.exceptAll(expected).count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -263,6 +263,11 @@ FROM events JOIN {_MINUTES} USING (event_type)""",
     "segments_anchored": _CHAIN,
     "segments_anchored_tree": _CHAIN,
     "segments_anchored_by_type": _CHAIN_COUNTS,
+    "segments_aligned_busy_window": """
+WITH moved AS (
+  SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN TIMESTAMP '2024-01-01' + to_seconds(event_id % 3000) ELSE ts END AS ts FROM events
+)
+SELECT event_id, strftime(min(ts) OVER (PARTITION BY epoch_ms(ts) // 3600000), '%Y-%m-%d_%H-%M-%S.%g') AS segment FROM moved""",
     "stream_rotation": _CHAIN_COUNTS,
     "close_segment_under_readers": _events(
         "SELECT count(*) AS rows, sum(event_id)::BIGINT AS ids, max(ingest_time) AS last, 1 AS closers_that_won FROM good"

@@ -420,6 +420,15 @@ def segments_aligned(spark, sf_dir):
     return assigned.select("event_id", "event_type", "segment")
 
 
+@query
+def segments_aligned_busy_window(spark, sf_dir):
+    """Nine of ten events are in one window; names of segments are joined without a broadcast, busy windows in parts."""
+    events = fx.table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    one = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("event_id") % 3000).cast("decimal(18,6)"))
+    events = events.withColumn("ts", F.when(F.col("event_id") % 10 != 0, one).otherwise(F.col("ts").cast("timestamp_ntz")))
+    return assign_aligned(events, 60, "ts", broadcast_rows=0).select("event_id", "segment")
+
+
 @query
 def segments_anchored(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("event_id", "ts")
