@@ -11,12 +11,14 @@ from telemill.sources.catalog import discover_catalog, discover_catalog_lenient,
 from telemill.sources.sinks import clean_table, close_segment, prepare_tables, write_csv, write_loads, write_table
 from telemill.sources.tables import scan_roots, scan_table
 from telemill.streaming.ingest import StreamIngest, StreamRotation
+from telemill.streaming.items import ItemLimit
 from telemill.streaming.registry import Registry, load_definitions
 
 __all__ = [
     "Column",
     "IngestResult",
     "ItemDefinition",
+    "ItemLimit",
     "Registry",
     "StreamIngest",
     "StreamRotation",

@@ -66,13 +66,27 @@ def _check_names(names: Iterable[str]) -> None:
         raise ValueError(f"reserved column names: {', '.join(taken)}")
 
 
-def write_table(rows: DataFrame, root: str, definition: ItemDefinition, load: str, rebalance: bool = False) -> str:
+def _filters(columns: Collection[str]) -> dict[str, str]:
+    """Bloom filters on key columns: a row group that cannot hold a key that is asked for is not read."""
+    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+    return {**options, "parquet.bloom.filter.adaptive.enabled": "true"} if options else {}
+
+
+def write_table(
+    rows: DataFrame,
+    root: str,
+    definition: ItemDefinition,
+    load: str,
+    rebalance: bool = False,
+    key_columns: Collection[str] = (),
+) -> str:
     """Store typed rows of one type under a load of their own; returns the folder.
 
     Writing the same load again replaces it, so a repeated run adds nothing
     twice: the new rows go to another folder, and one entry of the table's log puts them in place of the old.
     Rows are written where they are, without a shuffle, and the first and last
     ingest time are noted as they pass; ``rebalance`` trades a shuffle for evenly sized files (a large day is split, small ones joined).
+    ``key_columns`` get Bloom filters, for queries that look for single values of them.
     """
     _check_names(rows.columns)
     spark, path = rows.sparkSession, table_path(root, definition.folder, definition.name)
@@ -85,7 +99,7 @@ def write_table(rows: DataFrame, root: str, definition: ItemDefinition, load: st
     dated = rows.withColumn(DATE, F.to_date(INGEST_TIME)).observe(seen, *zone)
     if rebalance:
         dated = dated.hint("rebalance", F.col(DATE))
-    dated.write.mode("overwrite").partitionBy(DATE).parquet(f"{path}/{folder}")
+    dated.write.mode("overwrite").partitionBy(DATE).options(**_filters(key_columns)).parquet(f"{path}/{folder}")
     files = snapshots.folder_files(spark, path, folder, (seen.get["first"], seen.get["last"]))
     snapshots.commit_loads(spark, path, {load: {"folder": folder, "files": files}})
     return f"{path}/{folder}"
@@ -176,13 +190,14 @@ def close_segment(
     definition: ItemDefinition,
     leave: Collection[str] = (),
     keep_seconds: float = snapshots.KEEP_SECONDS,
+    key_columns: Collection[str] = (),
 ) -> str | None:
     """Rotate: turn everything a type has in open loads into one closed segment.
 
     Rows are ordered by ingest time and spread over as many files as their size asks for. One entry of the
     table's log puts the segment in the place of the loads: whoever reads a snapshot sees either these or that. Loads named in ``leave``
     stay open. If two close a table at once, the one whose entry comes first wins, and the other one's segment is discarded. Replaced loads
-    are removed ``keep_seconds`` later, by the next closing or ``clean_table``. Returns the name of the
+    are removed ``keep_seconds`` later, by the next closing or ``clean_table``. ``key_columns`` get Bloom filters. Returns the name of the
     closed load, or None if there was nothing to close.
     """
     path = table_path(root, definition.folder, definition.name)
@@ -208,7 +223,8 @@ def close_segment(
     ordered = rows.repartitionByRange(parts, F.col(INGEST_TIME), spread).sortWithinPartitions(INGEST_TIME)
     closed = f"closed-{first}-{uuid.uuid4().hex[:8]}"
     folder = f"{LOAD}={closed}"
-    ordered.withColumn(DATE, F.to_date(INGEST_TIME)).write.partitionBy(DATE).parquet(f"{path}/{folder}")
+    dated = ordered.withColumn(DATE, F.to_date(INGEST_TIME))
+    dated.write.partitionBy(DATE).options(**_filters(key_columns)).parquet(f"{path}/{folder}")
     segment = {"folder": folder, "files": snapshots.measured_files(spark, path, folder).get("", [])}
     if not snapshots.commit_loads(spark, path, {closed: segment}, loads, _epochs(loads)):
         remove_path(spark, f"{path}/{folder}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -47,6 +47,7 @@ class StreamIngest:
     instance: str = "telemill"
     writer: Callable[..., str] = field(default=write_table)
     rotate: bool = True
+    key_columns: Mapping[str, Collection[str]] = field(default_factory=dict)  # of closed segments, by type
     clock: Callable[[], str] = utc_now
     _prepared: list[ItemDefinition] | None = field(default=None, init=False)
     _identity: str = field(default="0" * 32, init=False)
@@ -94,12 +95,15 @@ class StreamIngest:
             raise ValueError(f"running segments are known for epoch {state['epoch']}, not for {epoch}")
         return state["before" if epoch == state["epoch"] else "after"]
 
+    def _close(self, definition: ItemDefinition, leave: Collection[str] = ()) -> None:
+        close_segment(self.spark, self.root, definition, leave, key_columns=self.key_columns.get(definition.name, ()))
+
     def _close_old(self, running: dict[str, int], now: int, epoch: int, types: list[ItemDefinition]) -> dict[str, int]:
         """Close the segments whose latency has passed; returns those that still run."""
         old = [t for t in types if t.name in running and now >= running[t.name] + t.segment_minutes * MINUTE_MS]
         with ThreadPoolExecutor(max_workers=PARALLEL_WRITES) as pool:
             # A repeated epoch may find its own rows stored already: they belong to the next segment.
-            list(pool.map(lambda t: close_segment(self.spark, self.root, t, leave=[self._load(epoch)]), old))
+            list(pool.map(lambda t: self._close(t, leave=[self._load(epoch)]), old))
         return {name: start for name, start in running.items() if name not in {t.name for t in old}}
 
     def _started_path(self) -> str:
@@ -127,7 +131,7 @@ class StreamIngest:
 
         def close(due: DataFrame, _: int) -> None:
             for row in due.collect():  # one row a type
-                close_segment(self.spark, self.root, ItemDefinition.from_json(row.definition))
+                self._close(ItemDefinition.from_json(row.definition))
 
         settings = {key: self.spark.conf.get(key, None) for key in STATE_STORE}
         for key, value in STATE_STORE.items():

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 import telemill
 from telemill import Registry
-from telemill.session import create_text, list_files, list_names, path_exists, read_text, write_text
+from telemill.session import create_text, list_files, list_names, path_exists, read_text, readable, write_text
 from telemill.sources import sinks, snapshots
 from telemill.sources.log import ControlLog
 from telemill.sources.sinks import prepare_tables, scan_definition
 from telemill.streaming.registry import DefinitionError
 from tests.types import QUERY_TEST
+from workloads.queries import rows_scanned
 
 
 @pytest.fixture
@@ -200,3 +201,17 @@ def test_loads_of_nothing(spark, root):
     assert telemill.write_loads(rows(spark), root, QUERY_TEST, F.lit("a")) == []
     telemill.write_table(rows(spark), root, QUERY_TEST, "empty")
     assert values(spark, root) == [] and telemill.close_segment(spark, root, QUERY_TEST) is None
+
+
+def test_bloom_filters_of_key_columns(spark, root):
+    """Without dictionaries to look into, only a Bloom filter can rule out a row group for a key between its ends."""
+    data = [(dt.datetime(2024, 6, 1), f"{n * 7919 % 4001:06d}", n, None) for n in range(4000)]
+    df = spark.createDataFrame(data, QUERY_TEST.stored_schema).repartition(8, F.xxhash64("label"))
+    scanned = {}
+    for load, keys in (("plain", []), ("keyed", ["label"])):
+        path = telemill.write_table(df, root, QUERY_TEST, load, key_columns=keys)
+        read = spark.read.option("parquet.filter.dictionary.enabled", "false").parquet(readable(path))
+        scanned[load] = rows_scanned(read.where(F.col("label") == "000077"))
+    assert scanned["plain"] == 4000 and scanned["keyed"] < 1500
+    assert telemill.close_segment(spark, root, QUERY_TEST, key_columns=["label"]) is not None
+    assert values(spark, root) == sorted([*range(4000)] * 2)

@@ -10,6 +10,7 @@ import telemill
 from telemill import Registry, StreamIngest
 from telemill.plans.store import read_quarantine
 from telemill.session import write_text
+from telemill.streaming.items import ItemLimit
 from tests.types import ALPHA, BETA, QUERY_TEST
 
 ALPHA_LATER = dataclasses.replace(ALPHA, latency_minutes=60)
@@ -174,3 +175,25 @@ def scan_state(spark, root):
         rows = telemill.scan_table(spark, root, name).select(F.input_file_name().alias("f")).collect()
         found[name] = sorted("closed" if "closed-" in r.f else "open" for r in rows)
     return found
+
+
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_an_epoch_takes_so_many_items(spark, places, size):
+    limit = ItemLimit(spark, places["root"], size)
+    expected = []
+    for epoch, count in enumerate((10, 0, 3, 25)):
+        rows = [(f"{epoch}-{n}",) for n in range(count)]
+        expected += [r[0] for r in rows]
+        batch = spark.createDataFrame(rows, "body string")
+        limit.take(batch, epoch)
+        limit.take(batch.repartition(3), epoch)  # repeated, in another order
+    limit.flush()
+    limit.flush()
+    epochs = []
+    query = limit.stream().writeStream.option("checkpointLocation", places["checkpoint"])
+    query.foreachBatch(lambda df, _: epochs.append([r.body for r in df.collect()])).trigger(availableNow=True).start().awaitTermination()
+    sizes = sorted((len(e) for e in epochs), reverse=True)
+    assert sizes == [size] * (38 // size) + [38 % size] * (38 % size > 0)
+    assert sorted(x for e in epochs for x in e) == sorted(expected)
+    with pytest.raises(ValueError):
+        ItemLimit(spark, places["root"], 0)

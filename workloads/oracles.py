@@ -233,6 +233,8 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g
        strftime(ingest_time, '%Y-%m-%d %H:%M:%S.%g') AS ingest_time, event_type,
        {_DUR_TEXT} AS dur, props, dur IS NULL AS dur_is_null
 FROM good"""),
+    "where_key": """
+SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 50 = 7 ORDER BY c_custkey LIMIT 3""",
     "time_range_scan": _events("""
 SELECT * EXCLUDE (batch_id, pos) FROM good
 WHERE ingest_time >= TIMESTAMP '2024-06-01 00:00:05' AND ingest_time < TIMESTAMP '2024-06-01 00:01:05'"""),
@@ -363,6 +365,9 @@ UNION ALL SELECT 'customer-seen', count(*), 3 FROM customer"""),
 SELECT CASE WHEN batch_id % 3 = 2 THEN 'open' ELSE 'closed' END AS state, count(*) AS n, min(event_id) AS first,
        max(event_id) AS last, count(DISTINCT batch_id % 3) AS epochs
 FROM good GROUP BY 1"""),
+    "stream_item_limit": _events("""
+SELECT 7::BIGINT AS bodies, (n // 7)::BIGINT AS epochs FROM (SELECT count(DISTINCT batch_id) AS n FROM ev)
+UNION ALL SELECT n % 7, 1 FROM (SELECT count(DISTINCT batch_id) AS n FROM ev) WHERE n % 7 > 0"""),
     "stream_quiet_type": _events("""
 SELECT 'user-event' AS type_name, 'closed' AS state, count(*) AS n FROM good
 UNION ALL SELECT 'order-placed', 'open', count(*) FROM orders"""),

@@ -33,6 +33,7 @@ from telemill.session import configure_session, scratch_dir
 from telemill.sources.catalog import find_table
 from telemill.sources.sinks import prepare_tables, scan_definition
 from telemill.sources.tables import scan_csv
+from telemill.streaming.items import ItemLimit
 from workloads import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,6 +352,30 @@ def rows_as_json(spark, sf_dir):
     )
 
 
+def rows_scanned(df: DataFrame) -> int:
+    """Rows that the scans of ``df`` hand on when it runs: those of the row groups that filters could not rule out."""
+    scan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = scan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+@query
+def where_key(spark, sf_dir):
+    """Equality on a key of many values: row groups whose Bloom filter lacks it are not read."""
+    root, found = scratch_dir(spark, "keys"), None
+    rows = fx.table(spark, sf_dir, "customer").select(
+        F.lit(fx.START).cast("timestamp_ntz").alias("ingest_time"), F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_acctbal"
+    )
+    prepare_tables(spark, root, [fx.CUSTOMER])
+    telemill.write_table(rows.repartition(16, F.xxhash64("c_name")), root, fx.CUSTOMER, "all", key_columns=["c_name"])
+    for row in rows.where("c_custkey % 50 = 7").select("c_name").orderBy("c_custkey").limit(3).collect():
+        hit = telemill.open_table(spark, root, fx.CUSTOMER.name).where("c_name", "==", row.c_name).df
+        assert rows_scanned(hit) * 4 < rows.count()
+        found = hit if found is None else found.unionByName(hit)
+    return found.select("c_custkey", "c_name", "c_acctbal")
+
+
 @query
 def time_range_scan(spark, sf_dir):
     """Rows of a period; only its days and row groups are read."""
@@ -670,6 +695,24 @@ def stream_rotated_tables(spark, sf_dir):
     )
 
 
+@query
+def stream_item_limit(spark, sf_dir):
+    """Bodies that arrive in files of any size are ingested seven an epoch; only the last epoch has fewer."""
+    source, root = _body_files(spark, sf_dir, fx.event_bodies(spark, sf_dir), 3), scratch_dir(spark, "limited")
+    limit = ItemLimit(spark, root, 7)
+    arriving = telemill.stream_batches(spark, source, 1).writeStream.option("checkpointLocation", scratch_dir(spark, "checkpoint"))
+    arriving.foreachBatch(limit.take).trigger(availableNow=True).start().awaitTermination()
+    limit.flush()
+    out = scratch_dir(spark, "epochs")
+
+    def count(bodies: DataFrame, epoch: int) -> None:
+        bodies.agg(F.count("*").alias("bodies")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    limited = limit.stream().writeStream.option("checkpointLocation", scratch_dir(spark, "checkpoint"))
+    limited.foreachBatch(count).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("bodies").agg(F.count("*").alias("epochs"))
+
+
 @query
 def stream_quiet_type(spark, sf_dir):
     """A type from which nothing comes any more is closed by its timer once its latency has passed, another one is not yet."""
