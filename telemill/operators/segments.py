@@ -27,7 +27,7 @@ NAME_FORMAT = "yyyy-MM-dd_HH-mm-ss.SSS"
 
 # A block of the time axis is one task's work. Times count in milliseconds, so
 # a block holds at most its own length of distinct times, whatever the volume.
-MIN_BLOCK_MS = 360 * MINUTE_MS
+BLOCK_MINUTES = 60  # of the time axis to a task: 3.6 million different milliseconds at most
 # Up to this many rows the block summaries are chained in one step per type,
 # beyond it as a tree.
 FLAT_CHAIN_ROWS = 1_000_000
@@ -138,20 +138,22 @@ def anchored_starts(
     carry: Mapping[str, int] | None = None,
     flat_rows: int = FLAT_CHAIN_ROWS,
     fan_in: int = FAN_IN,
+    block_minutes: int = BLOCK_MINUTES,
 ) -> DataFrame:
     """Segment starts ``(type_name, start_ms)`` of ``(type_name, ms)`` rows.
 
     ``carry`` gives the start of a type's running segment, if there is one. Beyond ``flat_rows``
     summary rows blocks are chained as a tree, ``fan_in`` at a time.
 
-    The time axis is cut into blocks; each becomes a step function in a task of
+    The time axis is cut into blocks of ``block_minutes``, whatever the latencies: an end that lies behind a block goes through
+    it unchanged, so a segment may span very many. Each block becomes a step function in a task of
     its own. The functions, small as they are, are chained to find where the
     running segment ends at each block's start, and then every block lists its
     starts, again in parallel.
     """
     names = sorted(minutes)
     widths = {i: minutes[n] * MINUTE_MS for i, n in enumerate(names)}
-    blocks = {i: max(MIN_BLOCK_MS, 4 * w) for i, w in widths.items()}
+    length = block_minutes * MINUTE_MS
     entries = {i: carry[n] + widths[i] for i, n in enumerate(names) if carry and n in carry}
 
     def lookup(values: Mapping, key: Column) -> Column:
@@ -160,7 +162,7 @@ def anchored_starts(
     number = lookup({n: i for i, n in enumerate(names)}, F.col("type_name"))
     # Rows of unknown types are in no segment.
     numbered = times.select(number.alias("type_no"), "ms").where("type_no IS NOT NULL AND ms IS NOT NULL").distinct()
-    block = floor_div(F.col("ms"), lookup(blocks, F.col("type_no")).cast("bigint"))
+    block = floor_div(F.col("ms"), F.lit(length).cast("bigint"))
     located = cut_lineage(numbered.select("type_no", block.alias("node"), "ms"), "segment-times")
     lo, hi = located.agg(F.min("node"), F.max("node")).first()
     if lo is None:
@@ -170,7 +172,7 @@ def anchored_starts(
         type_no, node = key
         # A segment from before the block ends within one width; a carried one may
         # have started inside the block, or end after it.
-        last_end = max(node * blocks[type_no] + widths[type_no], entries.get(type_no, _NO_ENTRY))
+        last_end = max(node * length + widths[type_no], entries.get(type_no, _NO_ENTRY))
         found = _block_function(np.sort(pdf["ms"].to_numpy()), last_end, widths[type_no])
         return pd.DataFrame({"type_no": type_no, "node": node - lo, "key": found[0], "out": found[1]})
 

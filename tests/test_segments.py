@@ -139,3 +139,13 @@ def test_a_busy_window_is_no_burden_for_one_task(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("block_minutes, chained", [(60, {}), (1, {}), (7, {"flat_rows": 0, "fan_in": 3})])
+def test_blocks_shorter_than_a_latency(spark, block_minutes, chained):
+    times, minutes = sample(6), {k: 1440 for k in MINUTES}
+    carry = {"every": min(times["every"]) + 500_000}
+    for given in (None, carry):
+        starts = found(anchored_starts(frame(spark, times).select("type_name", "ms"), minutes, given, block_minutes=block_minutes, **chained))
+        expected = {k: chain(set(ts), 1440 * MINUTE_MS, given[k] + 1440 * MINUTE_MS if given and k in given else None) for k, ts in times.items()}
+        assert starts == {k: v for k, v in expected.items() if v}
