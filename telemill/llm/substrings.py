@@ -53,18 +53,18 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return _mix(out)
 
 
-def found_among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which rows of 128 bits are among the wanted ones."""
-    order = np.lexsort((wanted[:, 1], wanted[:, 0]))
-    wanted = wanted[order]
-    hit = np.zeros(len(hashes), bool)
-    place = np.searchsorted(wanted[:, 0], hashes[:, 0])
+def found_among(one: np.ndarray, two: np.ndarray, wanted: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which pairs are among the wanted ones."""
+    order = np.argsort(wanted)
+    wanted, second = wanted[order], second[order]
+    hit = np.zeros(len(one), bool)
+    place = np.searchsorted(wanted, one)
     while True:  # once more for each repetition of the first 64 bits, which is next to never
         inside = place < len(wanted)
-        inside[inside] = wanted[place[inside], 0] == hashes[inside, 0]
+        inside[inside] = wanted[place[inside]] == one[inside]
         if not inside.any():
             return hit
-        hit[inside] |= wanted[place[inside], 1] == hashes[inside, 1]
+        hit[inside] |= second[place[inside]] == two[inside]
         place = np.where(inside, place + 1, len(wanted))
 
 
@@ -101,16 +101,16 @@ class Words:
         """Where windows start that lie within one text."""
         return np.flatnonzero(self.owner[: len(self.owner) - window + 1] == self.owner[window - 1 :]) if len(self.owner) >= window else np.zeros(0, np.int64)
 
-    def hashes_at(self, starts: np.ndarray, window: int) -> np.ndarray:
-        """128 bits for each window, as two columns."""
-        found = np.zeros((len(starts), 2), np.uint64)
-        one, two = 1, 1
+    def hashes_at(self, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits for each window: 64, and 32 of another hash."""
+        one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+        factors = 1, 1
         for i in range(window):
             word = self.hashes[starts + i]
-            found[:, 0] += word * np.uint64(one)
-            found[:, 1] += word * np.uint64(two)
-            one, two = one * _BASE & _MASK, two * _SECOND_BASE & _MASK
-        return _mix(found)
+            one += word * np.uint64(factors[0])
+            two += word * np.uint64(factors[1])
+            factors = factors[0] * _BASE & _MASK, factors[1] * _SECOND_BASE & _MASK
+        return _mix(one), _mix(two) >> np.uint64(32)
 
 
 def _of_owner(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def _once(owner: np.ndarray, *columns: np.ndarray) -> np.ndarray:
 
 
 def _by_owner(ids: pa.Array, owner: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    values = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
+    values = [pa.array(c.view(np.int64 if c.itemsize == 8 else np.int32)) for c in columns]
     return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), *values], names)
 
 
@@ -157,7 +157,7 @@ def _flat_lists(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _extended(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
-    """``(doc_id, m1, m2)``: 128-bit hashes of the windows whose seed is in the row's ``shared`` list.
+    """``(doc_id, m1, m2)``: 96-bit hashes of the windows whose seed is in the row's ``shared`` list.
 
     Around a seed these are all the ways to extend it left and right to the length threshold.
     """
@@ -172,12 +172,12 @@ def _extended(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
             # Seeds that only look alike add windows, which are compared by themselves.
             wanted = _of_owner(shared.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), of)
             starts = starts[np.isin(_of_owner(hashes[place[starts]], words.owner[starts]), wanted)]
-            found, owner = words.hashes_at(starts, window), words.owner[starts]
-            kept = _once(owner, found[:, 0], found[:, 1])
-            yield _by_owner(batch.column(0), owner[kept], [found[kept, 0], found[kept, 1]], ["doc_id", "m1", "m2"])
+            (one, two), owner = words.hashes_at(starts, window), words.owner[starts]
+            kept = _once(owner, one, two)
+            yield _by_owner(batch.column(0), owner[kept], [one[kept], two[kept].astype(np.uint32)], ["doc_id", "m1", "m2"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {key}, m1 bigint, m2 bigint")
+    return docs.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {key}, m1 bigint, m2 int")
 
 
 def later_matches(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -225,11 +225,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
             some = Words([t if has else b"" for t, has in zip(contents, listed)], known)
             starts = some.windows(window)
             repeats, of = _flat_lists(batch.column(2))
-            wanted = np.stack([c.to_numpy().astype(np.int64).view(np.uint64) for c in repeats.flatten()], axis=1)
-            wanted[:, 0] = _of_owner(wanted[:, 0], of)
-            hashes = some.hashes_at(starts, window)
-            hashes[:, 0] = _of_owner(hashes[:, 0], some.owner[starts])
-            starts = starts[found_among(hashes, wanted)]
+            wanted, second = (c.to_numpy() for c in repeats.flatten())
+            wanted = _of_owner(wanted.astype(np.int64).view(np.uint64), of)
+            one, two = some.hashes_at(starts, window)
+            one = _of_owner(one, some.owner[starts])
+            starts = starts[found_among(one, two, wanted, second.astype(np.int32).view(np.uint32))]
             edge = np.zeros(len(some.owner) + 1, np.int64)
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + window, -1)
