@@ -17,6 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STEPS = 48  # bytes in a window
 HIDDEN = 8
+SLOTS = 64  # that the texts of a language are dealt to while its sample is picked
 SAMPLE_DOCS = 500  # different texts of each language to learn from
 SAMPLE_CHARS = 400  # characters of each
 EPOCHS = 300
@@ -208,13 +209,16 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tu
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     usable = usable.where("doc_id IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("pick"))
-    order = Window.partitionBy("lang").orderBy("pick")
-    # Each task hands on its smallest picks only, so a language of very many texts is no burden to one of them.
-    picked = usable.select("lang", "pick").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    # The stretches are cut before anything is shuffled.
     start = F.pmod(F.col("pick"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    parts = usable.select("lang", "pick", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
+    # The smallest picks of each slot of a language, then those of the language: one of very many texts is no burden to a task.
+    picked = usable.select("lang", "pick", F.pmod("pick", F.lit(SLOTS)).alias("slot")).distinct()
+    for keys in (["lang", "slot"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("pick")
+        picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
     rows = (
-        usable.join(picked.drop("n"), ["lang", "pick"], "left_semi")
-        .select("lang", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"), "pick")
+        parts.join(picked.drop("slot"), ["lang", "pick"], "left_semi")
         .distinct()
         .orderBy("pick", "lang", "part")
         .collect()
