@@ -54,8 +54,8 @@ class StreamIngest:
 
     # --- one epoch -----------------------------------------------------------
 
-    def _manifest(self, epoch: int) -> tuple[str, list[ItemDefinition]]:
-        """Ingest time and definitions of an epoch, fixed on its first attempt.
+    def _manifest(self, epoch: int) -> tuple[str, list[ItemDefinition], bool]:
+        """Ingest time and definitions of an epoch, fixed on its first attempt, and whether it is a further one.
 
         A repeated epoch then stores exactly the rows of the first attempt, in
         the same places.
@@ -67,10 +67,11 @@ class StreamIngest:
                 plan = json.loads(read_text(self.spark, path))
             except ValueError:
                 plan = None  # cut off by a crash, so nothing was stored by it yet
+        repeated = plan is not None
         if plan is None:
             plan = {"ingest_time": self.clock(), "definitions": [d.to_json() for d in self.definitions()]}
             write_text(self.spark, path, json.dumps(plan))
-        return plan["ingest_time"], [ItemDefinition.from_json(text) for text in plan["definitions"]]
+        return plan["ingest_time"], [ItemDefinition.from_json(text) for text in plan["definitions"]], repeated
 
     def _load(self, epoch: int) -> str:
         return stream_load(self.name, self._identity, epoch)
@@ -143,17 +144,17 @@ class StreamIngest:
             for key, value in settings.items():
                 self.spark.conf.set(key, value) if value is not None else self.spark.conf.unset(key)
 
-    def _store(self, definition: ItemDefinition, rows: DataFrame, epoch: int) -> str | None:
+    def _store(self, definition: ItemDefinition, rows: DataFrame, epoch: int, repeated: bool) -> str | None:
         path = table_path(self.root, definition.folder, definition.name)
         load = self._load(epoch)
-        if is_closed(self.spark, path, load):
+        if repeated and is_closed(self.spark, path, load):
             return None
         return self.writer(rows, self.root, definition, load)
 
     def process(self, bodies: DataFrame, epoch: int) -> None:
         """Ingest one micro-batch: every table, the quarantine and the accounts."""
         configure_session(self.spark)
-        ingest_time, definitions = self._manifest(epoch)
+        ingest_time, definitions, repeated = self._manifest(epoch)
         if definitions != self._prepared:
             prepare_tables(self.spark, self.root, [*definitions, *ACCOUNT_TYPES])
             self._prepared = definitions
@@ -165,7 +166,7 @@ class StreamIngest:
         after = self._close_old(before, now, epoch, [*definitions, *ACCOUNT_TYPES])
 
         def put(rows: DataFrame, definition: ItemDefinition) -> str | None:
-            path = self._store(definition, rows, epoch)
+            path = self._store(definition, rows, epoch, repeated)
             after.setdefault(definition.name, now)
             return path
 
