@@ -473,7 +473,8 @@ def segments_anchored_tree(spark, sf_dir):
 def segments_anchored_by_type(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     minutes = {"click": 60, "view": 120, "error": 7, "signup": 10, "purchase": 1440}
-    assigned = assign_anchored(events, minutes, "ts", "event_type")
+    # Blocks of an hour, where a segment may span twenty-four of them.
+    assigned = assign_anchored(events, minutes, "ts", "event_type", block_minutes=60)
     return assigned.groupBy("event_type", "segment_start").agg(F.count("*").alias("n"))
 
 
