@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing sources, and sampled segmentations."""
+"""A corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing sources, and sampled segmentations."""
 
 from __future__ import annotations
 
@@ -34,8 +34,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 or more of their five-word shingles one stays, the one with the smallest id."""
-    return copies.drop_near_copies(docs)
+    """Of documents that are linked one stays, the one with the smallest id.
+
+    Links are SimHash fingerprints that differ in two bits or fewer, as in op1, and 0.8 or more of the five-word shingles in common.
+    """
+    return copies.drop_near_copies(docs, distance=2)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

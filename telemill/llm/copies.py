@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands find candidates, whole sets decide."""
+"""Near copies by SimHash fingerprints, and by the Jaccard similarity of their word shingles: MinHash bands find candidates, whole sets decide."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.common import connected_components, pieces, stored, text_bytes
+from telemill.llm.simhash import near_pairs, simhash
 from telemill.session import quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -94,26 +95,28 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("text"))
 
 
-def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, k, print, size, sketch, bands)`` per row: a hash of the text, and of its shingles a digest, their number,
-    their parity sketch and their band keys."""
+def _prints(docs: DataFrame, shingle: int, fingerprints: bool) -> DataFrame:
+    """``(doc_id, k, print, size, sketch, bands, fp)`` per row: a hash of the text, of its shingles a digest, their number,
+    their parity sketch and their band keys, and the text's SimHash if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = permutations()
         for batch in pieces(batches):
-            sets = [shingle_set(t or b"", shingle) for t in text_bytes(batch.column(2))]
+            texts = [t or b"" for t in text_bytes(batch.column(2))]
+            sets = [shingle_set(t, shingle) for t in texts]
             prints = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
             keys = [band_keys(s, factors).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             lists = pa.list_(pa.int64())
             sizes, sketches = pa.array(map(len, sets), pa.int64(), size=len(sets)), pa.array(map(parity_sketch, sets), lists, size=len(sets))
+            fps = pa.array(np.array([simhash(t) for t in texts], np.uint64).view(np.int64)) if fingerprints else pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(prints, pa.binary()), sizes, sketches, pa.array(keys, lists)],
-                ["doc_id", "k", "print", "size", "sketch", "bands"],
+                [batch.column(0), batch.column(1), pa.array(prints, pa.binary()), sizes, sketches, pa.array(keys, lists), fps],
+                ["doc_id", "k", "print", "size", "sketch", "bands", "fp"],
             )
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", _row_key().alias("k"), "text").mapInArrow(
-        run, f"doc_id {key}, k bigint, print binary, size bigint, sketch array<bigint>, bands array<bigint>"
+        run, f"doc_id {key}, k bigint, print binary, size bigint, sketch array<bigint>, bands array<bigint>, fp bigint"
     )
 
 
@@ -150,16 +153,35 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     return stored(both.mapInArrow(run, "a binary, b binary"), "copies-links", PAIR_ROWS)
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def _fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Links ``(a, b)`` between prints that tie all rows whose fingerprints differ in up to ``distance`` bits.
+
+    Prints with one fingerprint are linked with the smallest of them, which stands for it in the pairs of different fingerprints.
+    """
+    held = stored(prints.select("print", "fp").distinct(), "copies-fingerprints")
+    firsts = stored(held.groupBy("fp").agg(F.min("print").alias("first")), "copies-firsts")
+    same = held.join(firsts, "fp").where("print <> first").select(F.col("print").alias("a"), F.col("first").alias("b"))
+    left = firsts.select(F.col("fp").alias("a"), F.col("first").alias("first_a"))
+    right = firsts.select(F.col("fp").alias("b"), F.col("first").alias("first_b"))
+    pairs = near_pairs(firsts.select("fp"), distance)
+    near = pairs.join(left, "a").join(right, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return stored(same.unionAll(near).distinct(), "copies-near-prints")
+
+
+def near_copies(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(print, component)`` of every shingle set in ``docs``, and the prints of every row.
 
+    With a ``distance``, rows whose SimHash fingerprints differ in that many bits or fewer are linked, by multi-index hashing.
+
     Sets that share a band and are ``similarity`` or more alike are linked, whatever
     their number: first each with the two ends of each of its buckets, then the pairs of a bucket
     that are not in one component yet. Pairs whose sizes and parity sketches rule out that similarity
     go where they would arise, so nearly all that are compared by their whole sets are links between components, and
     the components are those of comparing all pairs in all buckets.
     """
-    prints = stored(_prints(docs, shingle), "copies-prints")
+    prints = stored(_prints(docs, shingle, distance is not None), "copies-prints")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "k"))
     same = [F.any_value(c).alias(c) for c in ("size", "sketch", "bands")]
     classes = stored(prints.groupBy("print").agg(head.alias("head"), *same), "copies-classes")
@@ -173,6 +195,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     star = star.join(sketches.withColumnRenamed("print", "a"), "a").join(others, "b").where(_may_be_similar(similarity))
     star = stored(star.select("a", "b"), "copies-pairs")
     links = _similar(star, docs, classes, shingle, similarity)
+    if distance is not None:
+        links = links.unionAll(_fingerprint_links(prints, distance))
     roots = connected_components(links, "copies-components").withColumnRenamed("node", "print")
 
     placed = shared.select("print", "key").join(roots, "print", "left").select(
@@ -194,14 +218,17 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     return labels, prints
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int | None = None
+) -> DataFrame:
     """One row of each component of near copies: that of the smallest ``doc_id``, and one without an id if none has any.
 
     Near copies have word shingles whose Jaccard similarity is ``similarity`` or more; words are split at
-    white space, and ASCII letters compared without case. Rows are told apart by ``doc_id`` and text, so repeated rows are copies of each
+    white space, and ASCII letters compared without case. With a ``distance``, texts whose SimHash fingerprints (``simhash``) differ in up to
+    that many bits are near copies too; links of both kinds make up the components. Rows are told apart by ``doc_id`` and text, so repeated rows are copies of each
     other like any others. All texts without a word are copies of one another.
     """
-    labels, prints = near_copies(docs, shingle, similarity)
+    labels, prints = near_copies(docs, shingle, similarity, distance)
     kept = labels.groupBy("component").agg(F.min("head").alias("head"))
     kept = stored(kept.select(F.col("head.id").alias("head_id"), F.col("head.k").alias("head_k")), "copies-kept")
     again = prints.groupBy("doc_id", "k").count().where("count > 1").select("doc_id", "k")
