@@ -8,31 +8,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.operators.lint import read_sidecars
-from telemill.session import configure_session, glob_exists, path_exists, readable
+from telemill.session import configure_session, glob_count, list_names, path_exists, readable, scratch_dir
 
 # Object stores, by URI scheme; everything else is a file system.
 _BLOB_SCHEMES = r"\A(?:abfss?|wasbs?|s3[an]?|gs)://"
 _RAW = "bucket string, path string, sidecar string"
+# Schema files that are listed and read at once; so many are read anew by each use, more are copied once.
+GROUP_FILES = 20_000
 
 
 class CatalogError(ValueError):
     """A root that cannot be read, or a schema file in it that is not valid."""
 
 
-def _sidecar_files(spark: SparkSession, root: str) -> DataFrame:
-    if not path_exists(spark, root):
-        raise CatalogError(f"cannot read {root}")
-    pattern = f"{readable(root.rstrip('/'))}/*/*.json"
-    if not glob_exists(spark, pattern):
-        return spark.createDataFrame([], _RAW)
+def _read_sidecars(spark: SparkSession, patterns: list[str]) -> DataFrame:
     path = F.col("_metadata.file_path")
-    return spark.read.text(pattern, wholetext=True).select(
+    return spark.read.text(patterns, wholetext=True).select(
         F.url_decode(F.element_at(F.split(path, "/"), -2)).alias("bucket"),
         path.alias("path"),
         F.col("value").alias("sidecar"),
     )
 
 
+def _sidecar_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(bucket, path, sidecar)`` of all schema files.
+
+    Many are read some folders at a time, by few tasks, and copied to scratch space: the driver holds the names of one group
+    (or of the largest folder), and no schema file is opened twice.
+    """
+    if not path_exists(spark, root):
+        raise CatalogError(f"cannot read {root}")
+    base = readable(root.rstrip("/"))
+    groups: list[list[str]] = []
+    held = GROUP_FILES
+    for name in list_names(spark, root):
+        pattern = f"{base}/{readable(name)}/*.json"
+        found = glob_count(spark, pattern)
+        if not found:
+            continue
+        if held + found > GROUP_FILES:
+            groups.append([])
+            held = 0
+        groups[-1].append(pattern)
+        held += found
+    if not groups:
+        return spark.createDataFrame([], _RAW)
+    if len(groups) == 1 and held <= GROUP_FILES:
+        return _read_sidecars(spark, [f"{base}/*/*.json"])
+    copy, tasks = scratch_dir(spark, "schema-files"), 4 * spark.sparkContext.defaultParallelism
+    own = spark.newSession()  # whose settings are nobody else's
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(tasks))
+    for k, patterns in enumerate(groups):
+        _read_sidecars(own, patterns).coalesce(tasks).write.parquet(f"{copy}/{k}")
+    return spark.read.schema(_RAW).parquet(*[f"{copy}/{k}" for k in range(len(groups))])
+
+
 def _entries(spark: SparkSession, root: str) -> DataFrame:
     configure_session(spark)
     root = root.rstrip("/")

@@ -343,6 +343,8 @@ def sidecar_root(spark: SparkSession, sf_dir: str, faulty: bool) -> str:
         stored.alias("orderedColumns"),
         F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("bucket"),
     )
+    # One task would write all of a small table's files one after another.
+    files = files.repartition(4 * spark.sparkContext.defaultParallelism)
     files.write.option("maxRecordsPerFile", 1).partitionBy("bucket").json(root)
     return root
 
