@@ -2,7 +2,7 @@
 
 import pytest
 
-from telemill.sources import catalog
+from telemill.sources import batches, catalog
 from workloads import fixtures
 
 
@@ -42,3 +42,28 @@ def test_schema_files_are_written_by_many_tasks(spark, tmp_path):
     files = spark.read.text(f"{root}/*/*.json").inputFiles()
     assert len(files) == 60
     assert len({x.rsplit("/part-", 1)[1][:5] for x in files}) > 1
+
+
+def test_small_splits_share_tasks_and_many_are_read_file_by_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for name in ("a b", "c{d}", "e"):
+        (tmp_path / "in" / f"{name}.txt").write_text("".join(f"{name} {'x' * (n % 37)}{n}\n" for n in range(3000)))
+    (tmp_path / "in" / "empty.txt").write_text("")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    want = sorted(map(tuple, batches.read_batches(spark, str(tmp_path / "in")).collect()))
+    assert len(want) == 9000 and all(b.split()[-1].lstrip("x") == i.rsplit(":", 1)[1] for i, b in want)
+    try:
+        spark.conf.set(size, "300")
+        found = batches.read_batches(spark, str(tmp_path / "in"))
+        # Some 700 splits, in no more tasks than some for each core.
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, found.collect())) == want
+        for most in (50, 500):
+            monkeypatch.setattr(batches, "MANY_SPLITS", most)
+            found = batches.read_batches(spark, str(tmp_path / "in"))
+            assert all("numbered" in x for x in found.inputFiles())
+            assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+            assert sorted(map(tuple, found.collect())) == want
+    finally:
+        spark.conf.set(size, before)
